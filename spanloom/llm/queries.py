@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op10_html_text
 from .quality_classifier import op1_quality_classifier
+from .quality_rules import OP9_SQL, op9_quality_rules
 from .source_mix import OP5_SQL, op5_source_mix
 from .token_files import op8_token_files
 
@@ -16,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op5_source_mix": op5_source_mix,
         "op8_token_files": op8_token_files,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL}
+    return {"op5_source_mix": OP5_SQL, "op9_quality_rules": OP9_SQL}
