@@ -45,7 +45,7 @@ def base_rules(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_i
     repeat = "if(size(q) = 0, 0L, 3L + aggregate(sequence(0, size(q) - 1), 0L, (n, j) -> n + if(j = 0, 0L, least(3L, q[j] - q[j - 1]))))"
     spaces = F.regexp_count("t", F.lit(common.SPACE))
     out = d.select(
-        "doc_id", "host", F.xxhash64("t").alias("fp"), *[c for c in keep], "n_words",
+        "doc_id", "host", F.xxhash64("host", "t").alias("fp"), *[c for c in keep], "n_words",
         (F.length("t") - spaces).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
@@ -56,29 +56,28 @@ def base_rules(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_i
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """doc_id, host, fp, line (hash), words: one row for each line with a word."""
+    """doc_id, fp (of host and text), at (place of the line), line (hash of host and line), words: one row for each line with a word."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(t).alias("fp"), F.explode(F.split(t, "\n")).alias("l"))
-    d = d.select("doc_id", "host", "fp", F.xxhash64(F.lower(F.trim("l"))).alias("line"), common.n_words(F.col("l")).alias("words"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(F.col(host_col), t).alias("fp"), F.posexplode(F.split(t, "\n")).alias("at", "l"))
+    d = d.select("doc_id", "fp", "at", F.xxhash64("host", F.lower(F.trim("l"))).alias("line"), common.n_words(F.col("l")).alias("words"))
     return d.where("words > 0")
 
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """host, line, n_docs of the lines in more than ``max_docs`` distinct documents of a host."""
-    seen = _lines(docs, id_col, text_col, host_col).select("host", "line", "fp").distinct()
-    return seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    """line, n_docs of the lines (hashed with their host) in more than ``max_docs`` distinct documents of a host."""
+    seen = _lines(docs, id_col, text_col, host_col).select("line", "fp").distinct()
+    return seen.groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base columns, n_removed_words (words in boilerplate lines) and kept, for each row."""
     cols = {"id_col": id_col, "text_col": text_col, "host_col": host_col}
-    often = frequent_lines(docs, max_docs, **cols).select(F.col("host").alias("h"), F.col("line").alias("k"))
-    lines = _lines(docs, **cols).groupBy("doc_id", "host", "fp", "line").agg(F.max("words").alias("words"), F.count("*").alias("copies"))
-    hit = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")), "left_semi")
-    gone = hit.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("fp").alias("f")).agg(F.sum(F.col("words") * F.col("copies")).alias("n_removed_words"))
+    often = frequent_lines(docs, max_docs, **cols)
+    hit = _lines(docs, **cols).join(often, "line", "left_semi").select("doc_id", "fp", "at", "words").distinct()  # repeated rows count once
+    gone = hit.groupBy(F.col("doc_id").alias("d"), F.col("fp").alias("f")).agg(F.sum("words").alias("gone"))
     base = base_rules(docs, **cols)
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h")) & (F.col("fp") == F.col("f")), "left")
-    out = out.withColumn("n_removed_words", F.least(F.coalesce("n_removed_words", F.lit(0)), F.col("n_words")).cast("long"))
+    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")), "left")
+    out = out.withColumn("n_removed_words", F.least(F.coalesce("gone", F.lit(0)), F.col("n_words")).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     kept = ~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", kept.alias("kept"))
