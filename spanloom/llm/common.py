@@ -48,7 +48,7 @@ def saved(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     lost executor costs only the tasks that ran on it.  Returns the table and its path."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.options(compression="zstd", **options).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -30,24 +30,48 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"SLH1"
-BLOCK = 512
+BLOCK = 128
 MAX_BITS = 20
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
+COUNTS = -1
 #: Texts of these characters only split the same under ``re`` as under the vocabulary's pattern.
-_PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´-¸»¿-ÿ]*")
+_PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_CACHE_PIECES = 600_000
+_RUN = re.compile(r" ?(?:[^\W\d_]+|\d+)")
+_CACHE = 250_000
+_TEXTS = 64
 
 
 # ---------------------------------------------------------------- tokenizer
 
 
+class _Known(dict):
+    """A map of at most two generations of ``room`` entries; entries in use move to the young one."""
+
+    def __init__(self, room: int):
+        self.room, self.old = room, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys) -> list:
+        old = self.old
+        return [k for k in keys if k not in self and k not in old]
+
+    def turn(self) -> None:
+        if len(self) > self.room:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of a text under a byte-level BPE file of the tokenizers library.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, with what it said remembered.
 
-    The library's pre-tokenizer cuts a text into pieces and merges never cross them, so ids of a
-    piece seen before are remembered.  A text with characters outside :data:`_PLAIN`, or one that
-    holds a special token's string, goes to the library whole.
+    The library's pre-tokenizer cuts a text into pieces, and merges never cross them.  A text of common
+    characters without two white-space characters in a row is cut before each space and line feed;
+    these chunks are made of whole pieces, so a chunk's ids are its pieces' ids.  Any other text, and one
+    that holds a special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -58,28 +82,62 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        pre = json.loads(self.tok.to_str()) if hasattr(self.tok, "to_str") else {}
-        kind = pre.get("pre_tokenizer") or {}
-        self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not pre.get("normalizer")
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre = made.get("pre_tokenizer") or {}
+        self.cuts = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer"))
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
+        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # a byte-level token has a character for each byte
+        self.pieces, self.chunks = _Known(_CACHE), _Known(_CACHE)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not self.by_piece or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        known = self.known
-        if len(known) > _CACHE_PIECES:
-            known.clear()
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            for p in pieces:
-                if p not in known:
-                    known[p] = self._whole(p)
-            return b"".join(map(known.__getitem__, pieces))
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Runs of letters or digits are encoded in one text with line feeds between them, which cut it
+        into the same pieces; the bytes that each token stands for say where a piece ends."""
+        known = self.pieces
+        plain = [p for p in new if _RUN.fullmatch(p)]
+        if len(plain) > 1:
+            ids = np.asarray(self.tok.encode("\n".join(plain), add_special_tokens=False).ids, dtype=self.kind)
+            ends = np.cumsum([len(p.encode()) + 1 for p in plain])
+            at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends)  # the token of each line feed
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for p, stop in zip(plain, at.tolist(), strict=True):
+                known[p] = raw[start * size : stop * size]
+                start = stop + 1
+        for p in new:
+            if p not in known:
+                known[p] = self._whole(p)
+
+    def _learn_chunks(self, new: list[str]) -> None:
+        cut = [_PIECE.findall(c if c[:1] == "\n" else " " + c) for c in new]
+        self._learn_pieces(self.pieces.unknown({p for pieces in cut for p in pieces}))
+        for c, pieces in zip(new, cut, strict=True):
+            self.chunks[c] = b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text cut before spaces and line feeds; chunks after a space go without it."""
+        if not self.cuts or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        # before the first chunk stands no space: it is read as one that follows a line feed
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:] if text and text[0] not in " \n" else None
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        self.pieces.turn()
+        self.chunks.turn()
+        cut = [self._chunks(t) for t in texts]
+        met = set()
+        for chunks in cut:
+            if chunks:
+                met.update(chunks)
+        if new := self.chunks.unknown(met):
+            self._learn_chunks(new)
+        get, feed = self.chunks.__getitem__, len(self._whole("\n")) if self.cuts else 0
+        return [np.frombuffer(self._whole(t) if chunks is None else b"".join(map(get, chunks))[feed:], self.kind) for t, chunks in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,27 +152,25 @@ def _encoder(path: str) -> Encoder:
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, at = _encoder(path), TaskContext.get().partitionId(), 0, 0
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        counts = np.zeros(max(len(enc.n_bytes), end_id + 1), np.int64)
+        end = np.asarray([end_id], enc.kind)
         for b in batches:
-            rows, held = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.ids(text.as_py() or "") + end
-                rows.append((doc, seq, at, len(ids) // 4, ids))
-                seq, at, held = seq + 1, at + len(ids) // 4, held + len(ids)
-                if held > 1 << 24:
-                    yield _id_rows(part, rows)
-                    rows, held = [], 0
-            if rows:
-                yield _id_rows(part, rows)
+            for k in range(0, b.num_rows, _TEXTS):
+                some = b.slice(k, _TEXTS)
+                ids = [np.concatenate([x, end]) for x in enc.ids([t or "" for t in some.column(1).to_pylist()])]
+                sizes = np.asarray([len(x) for x in ids])
+                counts += np.bincount(np.concatenate(ids), minlength=len(counts))
+                yield _id_rows(some.column(0), part, seq, at + np.cumsum(sizes) - sizes, sizes, [x.tobytes() for x in ids])
+                seq, at = seq + len(ids), at + int(sizes.sum())
+        if seq:
+            yield _id_rows(pa.array([None], pa.int64()), part, COUNTS, np.asarray([at]), np.asarray([at]), [counts.astype("<i8").tobytes()])
 
     return run
 
 
-def _id_rows(part: int, rows: list[tuple]) -> pa.RecordBatch:
-    doc, seq, at, n, ids = zip(*rows, strict=True)
-    wide = any(np.frombuffer(x, "<u4").max() > 0xFFFF for x in ids)
-    packed = [x if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array([part] * len(doc), pa.int32()), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "part", "seq", "at", "n", "ids"])
+def _id_rows(docs: pa.Array, part: int, seq: int, at: np.ndarray, n: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    k = len(docs)
+    return pa.record_batch([docs, pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "seq", "at", "n", "ids"])
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
@@ -123,7 +179,8 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, part, seq, at, n, ids): ids of each document in range partitions of ascending id;
-    ``seq`` and ``at`` count documents and ids before it in its partition."""
+    ``seq`` and ``at`` count documents and ids before it in its partition.  A last row of each partition, with
+    seq :data:`COUNTS`, holds how often each id occurs in it (as ``ids``) and all its ids (as ``n``)."""
     n = common.parts_for(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -256,15 +313,11 @@ def read_shard(raw: bytes, lengths: np.ndarray, table: tuple) -> tuple[list, np.
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for n, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            c = np.bincount(_unpacked(raw.as_py(), n))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+        for raw in b.column(0):
+            total = np.frombuffer(raw.as_py(), "<i8")
+            seen = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
 
 def _sharded(lengths: np.ndarray, bases: dict[int, int]):
@@ -298,13 +351,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     removed at the end.  To the driver go one count for each id of the vocabulary and one sum for each
     range partition."""
     spark = docs.sparkSession
-    ids, ids_path = common.saved(tokenize(docs, tokenizer, end_id, id_col, text_col), "token-ids")
-    counts = ids.select("n", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    table, ids_path = common.saved(tokenize(docs, tokenizer, end_id, id_col, text_col), "token-ids", compression="none")
+    sums, ids = table.where(F.col("seq") == COUNTS), table.where(F.col("seq") >= 0)
+    counts = sums.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     freq = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
         freq[r.id] = r.n
     lengths, bases, total = code_lengths(freq), {}, 0
-    for r in ids.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+    for r in sums.select("part", "n").orderBy("part").collect():
         bases[r.part], total = total, total + r.n
     ids.mapInArrow(_sharded(lengths, bases), "part int, seq long, shard binary").write.option("compression", "none").parquet(f"{path}/shards")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
@@ -328,7 +382,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 wide, own = ids.astype("<u4").tobytes(), [(int(e - n), int(e)) for e, n in zip(ends, sizes, strict=True)]
                 cols = [pa.array(docs, pa.int64()), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(wide[4 * x : 4 * y]) for x, y in own], pa.int64())]
                 if with_ids:
-                    cols.append(pa.array([ids[x:y] for x, y in own], pa.list_(pa.uint32()).value_type and pa.list_(pa.int64())))
+                    cols.append(pa.array([ids[x:y].astype(np.int64) for x, y in own], pa.list_(pa.int64())))
                 yield pa.record_batch(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     return spark.read.parquet(f"{path}/shards").select("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
