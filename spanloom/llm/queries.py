@@ -10,12 +10,14 @@ from .html_text import op10_html_text
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .source_mix import OP5_SQL, op5_source_mix
+from .substring_dedup import op3_substring_dedup
 from .token_files import op8_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mix": op5_source_mix,
         "op8_token_files": op8_token_files,
         "op9_quality_rules": op9_quality_rules,
