@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP2_SQL, op2_decontamination
 from .html_text import op10_html_text
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP9_SQL, op9_quality_rules
@@ -17,6 +18,7 @@ from .token_files import op8_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mix": op5_source_mix,
         "op8_token_files": op8_token_files,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_source_mix": OP5_SQL, "op9_quality_rules": OP9_SQL}
