@@ -35,11 +35,10 @@ MAX_BITS = 20
 SHARD_IDS = 1 << 19
 COUNTS = -1
 #: Texts of these characters only split the same under ``re`` as under the vocabulary's pattern.
-_PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
+_PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´-¸»¿-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_RUN = re.compile(r" ?(?:[^\W\d_]+|\d+)")
-_CACHE = 250_000
-_TEXTS = 64
+_CACHE = 500_000
+_TEXTS = 256
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -68,10 +67,9 @@ class _Known(dict):
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, with what it said remembered.
 
-    The library's pre-tokenizer cuts a text into pieces, and merges never cross them.  A text of common
-    characters without two white-space characters in a row is cut before each space and line feed;
-    these chunks are made of whole pieces, so a chunk's ids are its pieces' ids.  Any other text, and one
-    that holds a special token's string, goes to the library whole.
+    The library's pre-tokenizer cuts a text into pieces, and merges never cross them, so ids of a piece
+    seen before are remembered.  A text with characters outside :data:`_PLAIN`, or one that holds a
+    special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -88,56 +86,28 @@ class Encoder:
         self.cuts = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer"))
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
-        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)  # a byte-level token has a character for each byte
-        self.pieces, self.chunks = _Known(_CACHE), _Known(_CACHE)
+        self.n_ids = max(vocab.values(), default=0) + 1
+        self.pieces = _Known(_CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        """Runs of letters or digits are encoded in one text with line feeds between them, which cut it
-        into the same pieces; the bytes that each token stands for say where a piece ends."""
-        known = self.pieces
-        plain = [p for p in new if _RUN.fullmatch(p)]
-        if len(plain) > 1:
-            ids = np.asarray(self.tok.encode("\n".join(plain), add_special_tokens=False).ids, dtype=self.kind)
-            ends = np.cumsum([len(p.encode()) + 1 for p in plain])
-            at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends)  # the token of each line feed
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            for p, stop in zip(plain, at.tolist(), strict=True):
-                known[p] = raw[start * size : stop * size]
-                start = stop + 1
-        for p in new:
-            if p not in known:
-                known[p] = self._whole(p)
-
-    def _learn_chunks(self, new: list[str]) -> None:
-        cut = [_PIECE.findall(c if c[:1] == "\n" else " " + c) for c in new]
-        self._learn_pieces(self.pieces.unknown({p for pieces in cut for p in pieces}))
-        for c, pieces in zip(new, cut, strict=True):
-            self.chunks[c] = b"".join(map(self.pieces.__getitem__, pieces))
-
-    def _chunks(self, text: str) -> list[str] | None:
-        """The text cut before spaces and line feeds; chunks after a space go without it."""
-        if not self.cuts or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        # before the first chunk stands no space: it is read as one that follows a line feed
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:] if text and text[0] not in " \n" else None
+    def _pieces(self, text: str) -> list[str] | None:
+        return _PIECE.findall(text) if self.cuts and _PLAIN.fullmatch(text) and not any(s in text for s in self.special) else None
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        self.pieces.turn()
-        self.chunks.turn()
-        cut = [self._chunks(t) for t in texts]
+        known = self.pieces
+        known.turn()
+        cut = [self._pieces(t) for t in texts]
         met = set()
-        for chunks in cut:
-            if chunks:
-                met.update(chunks)
-        if new := self.chunks.unknown(met):
-            self._learn_chunks(new)
-        get, feed = self.chunks.__getitem__, len(self._whole("\n")) if self.cuts else 0
-        return [np.frombuffer(self._whole(t) if chunks is None else b"".join(map(get, chunks))[feed:], self.kind) for t, chunks in zip(texts, cut, strict=True)]
+        for pieces in cut:
+            if pieces:
+                met.update(pieces)
+        if new := known.unknown(met):
+            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[p] = np.asarray(e.ids, self.kind).tobytes()
+        get = known.__getitem__
+        return [np.frombuffer(self._whole(t) if pieces is None else b"".join(map(get, pieces)), self.kind) for t, pieces in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -152,7 +122,7 @@ def _encoder(path: str) -> Encoder:
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, at = _encoder(path), TaskContext.get().partitionId(), 0, 0
-        counts = np.zeros(max(len(enc.n_bytes), end_id + 1), np.int64)
+        counts = np.zeros(max(enc.n_ids, end_id + 1), np.int64)
         end = np.asarray([end_id], enc.kind)
         for b in batches:
             for k in range(0, b.num_rows, _TEXTS):
