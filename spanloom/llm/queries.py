@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .html_text import op10_html_text
+from .minhash_dedup import op7_minhash_dedup
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .source_mix import OP5_SQL, op5_source_mix
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mix": op5_source_mix,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_token_files": op8_token_files,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_text": op10_html_text,

@@ -37,7 +37,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the texts, and the number of words before each text (and in all)."""
     blank = np.ones(len(data) + 1, bool)
     blank[:-1] = _IS_SPACE[data]
@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     inner = offsets[(offsets > 0)] - 1
     last[inner] = True
     stops = np.flatnonzero(last & ~blank[:-1]) + 1
-    return between(sums_of(_TABLE[data], _BYTES), starts, stops, _BYTES), np.searchsorted(starts, offsets)
+    return between(sums_of(table[data], _BYTES), starts, stops, _BYTES), np.searchsorted(starts, offsets)
 
 
 def _places(words_before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
