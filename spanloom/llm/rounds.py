@@ -27,7 +27,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, per_part: int = 2) ->
     n = common.parts_for(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n * per_part)).cast("int").alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return d.repartition(n, "bucket"), n
+    return d.repartition(n, "bucket"), max(1, n // 2)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
