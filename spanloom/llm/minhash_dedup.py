@@ -39,6 +39,10 @@ SYMBOLS = 64
 CHUNKS = 16
 MAX_DISTANCE = 28
 LARGE_KEY = 2048
+#: Ids are broadcast up to this number (32 MB).
+MAX_BROADCAST_IDS = 4_000_000
+#: A distance at which most pairs are similar enough.
+LIKELY = 12
 
 _FOLD = _TABLE.copy()
 _FOLD[65:91] = _TABLE[97:123]
@@ -292,13 +296,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                 ok.append(100 * shared >= percent * (len(both) - shared))
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = _texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
+    ids, _ = common.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
+    found = _texts(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
     found, _ = common.saved(found, "shingle-sets", compression="none")
     x, y = (found.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
 
 
+def _crossing(near: DataFrame, comp: DataFrame, best: bool) -> DataFrame:
+    """(a, b) of the links between different components; with ``best`` one for each class at the end b: the smallest id
+    within the distance LIKELY, else the nearest."""
+    x, y = (comp.select(F.col("v").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
+    cross = near.join(x, "a", "left").join(y, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    if not best:
+        return cross.select("a", "b")
+    rank = F.struct((F.col("dist") > LIKELY).alias("far"), F.when(F.col("dist") <= LIKELY, F.col("a")).alias("first"), "dist", "a")
+    return cross.groupBy("b").agg(F.min(rank).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -315,28 +331,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spread = member.join(spread, "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
 
     near, _ = common.saved(near_links(star_links(reps), reps, percent), "near-links")
-    first = near.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tested, _ = common.saved(first, "tested")
-    links, _ = common.saved(confirmed(tested, docs, size, percent, id_col, text_col).union(spread), "links")
-    comp = components(links)
-    others = reps.join(comp, reps.id == comp.v, "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "sig")
-    others, _ = common.saved(others, "class-components")
-    open_links, _ = common.saved(foreign_links(others, percent).join(tested, ["a", "b"], "left_anti"), "open-links")
-    for turn in range(3):
-        # twice the nearest link of each class first, since one link joins whole components; then all that is left
-        x, y = (comp.select(F.col("v").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
-        cross = open_links.join(x, "a", "left").join(y, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "dist")
-        if turn < 2:
-            ends = cross.select("a", "b", "dist", F.explode(F.array("a", "b")).alias("end"))
-            cross = ends.groupBy("end").agg(F.min(F.struct("dist", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        todo, _ = common.saved(cross.select("a", "b"), "todo")
-        if todo.isEmpty():
-            break
-        new, _ = common.saved(confirmed(todo, docs, size, percent, id_col, text_col), "links")
-        open_links, _ = common.saved(open_links.join(todo, ["a", "b"], "left_anti"), "open-links")
-        if not new.isEmpty():
-            links, _ = common.saved(links.union(new), "links")
-            comp = components(links)
+    links, comp = spread, components(spread)
+    tested = None
+    for source in ("stars", "foreign"):
+        if source == "foreign":
+            others = reps.join(comp, reps.id == comp.v, "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "sig")
+            others, _ = common.saved(others, "class-components")
+            near, _ = common.saved(foreign_links(others, percent).join(tested, ["a", "b"], "left_anti"), "near-links")
+        for turn in range(4):
+            # some turns take one link of each class only, since one confirmed link joins whole components; then all that is left
+            todo, _ = common.saved(_crossing(near, comp, best=turn < 3), "todo")
+            tested = todo if tested is None else tested.union(todo)
+            if todo.isEmpty():
+                break
+            new, _ = common.saved(confirmed(todo, docs, size, percent, id_col, text_col), "links")
+            near, _ = common.saved(near.join(todo, ["a", "b"], "left_anti"), "near-links")
+            if not new.isEmpty():
+                links, _ = common.saved(links.union(new), "links")
+                comp, _ = common.saved(components(links), "components")
     own = sk.join(reps.select("fp1", "fp2", F.col("n").alias("n_shingles"), "id"), ["fp1", "fp2", "n_shingles"], "left")
     own = own.join(comp, own.id == comp.v, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
