@@ -13,6 +13,7 @@ from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .source_mix import OP5_SQL, op5_source_mix
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op4_suffix_dedup
 from .token_files import op8_token_files
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_source_mix": op5_source_mix,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_token_files": op8_token_files,
