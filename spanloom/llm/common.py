@@ -68,3 +68,14 @@ def n_words(text: Column) -> Column:
 def parts_for(spark: SparkSession, factor: float = 1.0) -> int:
     """Partitions for a keyed exchange: the session's setting, scaled for lighter or heavier rows."""
     return max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
+
+
+#: Ids are broadcast up to this number (32 MB of longs); beyond it both sides are shuffled by id.
+MAX_BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one-column table ``ids``; the column names of ``ids`` do not matter."""
+    ids, _ = saved(ids.toDF("__gone").distinct(), "ids")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids["__gone"]), "left_anti")

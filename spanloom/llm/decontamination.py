@@ -78,8 +78,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """Rows of ``docs`` without those of contaminated documents."""
-    bad = overlaps(docs, items, id_col=id_col, **columns).select(F.col("doc_key").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    return common.without(docs, overlaps(docs, items, id_col=id_col, **columns).select("doc_key"), id_col)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

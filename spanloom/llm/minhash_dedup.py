@@ -39,8 +39,6 @@ SYMBOLS = 64
 CHUNKS = 16
 MAX_DISTANCE = 28
 LARGE_KEY = 2048
-#: Ids are broadcast up to this number (32 MB).
-MAX_BROADCAST_IDS = 4_000_000
 #: A distance at which most pairs are similar enough.
 LIKELY = 12
 
@@ -297,7 +295,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ids, _ = common.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
+    few = ids.count() <= common.MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
     found = _texts(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
     found, _ = common.saved(found, "shingle-sets", compression="none")
     x, y = (found.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
@@ -354,5 +352,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` of which one document of each component stays (the smallest id); of several rows with one id, one."""
+    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select("doc_id")
+    left = common.without(docs, gone, id_col)
+    again = left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    return left if again.isEmpty() else left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), size=2)

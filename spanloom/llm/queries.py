@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .html_text import op10_html_text
+from .license_scan import op6_license_scan
 from .minhash_dedup import op7_minhash_dedup
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import OP9_SQL, op9_quality_rules
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_source_mix": op5_source_mix,
+        "op6_license_scan": op6_license_scan,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_token_files": op8_token_files,
         "op9_quality_rules": op9_quality_rules,
