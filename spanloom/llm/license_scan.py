@@ -1,7 +1,7 @@
 r"""License scan by conditional compression.
 
 Candidate blocks are runs of lines around lines with a licence cue.  Each block is compressed alone and with each template as raw
-zstandard dictionary; templates are ranked by the share of the block's size that they save.  The best few are confirmed by their exact
+zstandard dictionary; templates are ranked by the bytes they save, as a share of their own compressed size.  The best few are confirmed by their exact
 wording: the words of the template must stand in the block in order, apart from marked variable parts; missing template
 words are counted and listed.  A short template must be complete, a long one may miss ``MAX_MISSING`` of its words.  What a template confirms is taken out of the
 block, so a block with several notices yields each.
@@ -56,8 +56,12 @@ def words(text: str) -> list[str]:
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None):
-        self.templates = [(i, k, words(_VARIABLE.sub(" ", t)), self._sizer(_VARIABLE.sub(" ", t))) for i, many in sorted((templates or TEMPLATES).items()) for k, t in enumerate(many)]
         self.alone = self._sizer("")
+        self.templates = []
+        for i, many in sorted((templates or TEMPLATES).items()):
+            for k, t in enumerate(many):
+                t = _VARIABLE.sub(" ", t)
+                self.templates.append((i, k, words(t), self._sizer(t), self.alone(t.lower().encode())))
 
     @staticmethod
     def _sizer(text: str):
@@ -94,10 +98,12 @@ class Scanner:
     def _confirm(self, line: int, block: str) -> list[Notice]:
         raw = self.core(block).encode("utf-8", "surrogatepass")
         base = max(1, self.alone(raw))
-        ranked = sorted(((1 - size(raw) / base, i, k, w) for i, k, w, size in self.templates), key=lambda x: (-x[0], x[1], x[2]))
+        # a long template saves a little in any text: rank by the share of the template's own size that it saves
+        sizes = [(size(raw), own, i, k, w) for i, k, w, size, own in self.templates]
+        ranked = sorted(((base - c) / own, 1 - c / base, i, k, w) for c, own, i, k, w in sizes)[::-1]
         left, out = words(block), []
         found = []
-        for saved, i, k, w in ranked[:BEST]:
+        for _, saved, i, k, w in ranked[:BEST]:
             match = self._align(w, left)
             if match:
                 found.append((match, saved, i, k, w))
