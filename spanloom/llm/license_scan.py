@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 from .license_templates import TEMPLATES
 
-LEVEL = 3
+#: Small blocks against small dictionaries: the levels that find matches of three bytes.
+LEVEL = 19
 #: Lines between two cue lines that still belong to one block.
 GAP = 3
 #: Templates that are compared word by word, best savings first.
@@ -65,7 +66,7 @@ class Scanner:
 
     @staticmethod
     def _sizer(text: str):
-        extra = {"dict_data": zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if text else {}
+        extra = {"dict_data": zstandard.ZstdCompressionDict(text.lower().encode() + b"\n" * 16, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if text else {}
         c = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, **extra)
         return lambda raw: len(c.compress(raw))
 
