@@ -8,6 +8,9 @@ Multi-index join: a signature is split into ``CHUNKS`` chunks of four symbols.
 less than 2 * CHUNKS symbols have a chunk with at most one difference; enumerating the place of that one error gives
 four keys a chunk (the other three symbols, exact), and such a pair shares a key.
 
+A second sketch, the LOWEST smallest shingle hashes (of most texts the whole set), drops candidates that
+cannot reach the similarity before they leave the task of a key: texts that only share a common passage stop there.
+
 Keys are not joined pairwise.  Texts with equal shingle sets are one class, represented by its smallest id.
 Round 1 links each class to the smallest id it shares a key with, takes the nearest of these for each class and confirms
 it on the full shingle sets.  Round 2 looks only at keys that classes of *different* components share, compares their
@@ -36,6 +39,10 @@ from .rounds import between, mixed, sums_of, texts_of
 from .substring_dedup import _BYTES, _TABLE, _WORDS, _joined, word_hashes
 
 SYMBOLS = 64
+#: Smallest shingle hashes of a set that are kept as a second sketch: the whole set, if it has no more.
+LOWEST = 256
+#: What an estimate from LOWEST hashes may fall below the truth (4.5 deviations at 0.8), and one from whole sets (clashes of 32 bits).
+SLACK, WHOLE_SLACK = 11.25, 1.0
 CHUNKS = 16
 MAX_DISTANCE = 28
 LARGE_KEY = 2048
@@ -73,24 +80,60 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(low) >> np.uint64(48)).astype("<u2")
 
 
+def lowest(shingles: np.ndarray) -> np.ndarray:
+    """The smallest LOWEST hashes of a sorted set, 32 bits each."""
+    return (shingles[:LOWEST] >> np.uint64(32)).astype("<u4")
+
+
+def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of lowest hashes (padded with the largest number): may the sets be similar enough?  Among the smallest hashes of both
+    sets together, those in both are counted."""
+    both = np.concatenate([a, b], axis=1)
+    both.sort(axis=1)
+    pad = both == _PAD
+    twin = np.zeros(both.shape, bool)
+    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & ~pad[:, 1:]
+    own = ~twin & ~pad
+    counted = np.cumsum(own, axis=1) <= LOWEST
+    whole = (na <= LOWEST) & (nb <= LOWEST)
+    counted |= whole[:, None]
+    union = (own & counted).sum(axis=1)
+    shared = (twin & counted).sum(axis=1)
+    return 100 * shared >= (percent - np.where(whole, WHOLE_SLACK, SLACK)) * union
+
+
+_PAD = np.uint32(0xFFFFFFFF)
+
+
+def _padded(column) -> np.ndarray:
+    """Lowest hashes of a column, one row each."""
+    blobs = column.to_pylist()
+    out = np.full((len(blobs), LOWEST), _PAD, np.uint32)
+    for i, x in enumerate(blobs):
+        v = np.frombuffer(x, "<u4")
+        out[i, : len(v)] = v
+    return out
+
+
 def _text_table(b: pa.RecordBatch) -> pa.Table:
     return pa.table([b.column(1)], names=["text"])
 
 
 def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), sig."""
+    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), sig, low (lowest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, sigs, low = [], [], [], [], []
             for s in shingle_sets(_text_table(b), size):
                 n.append(len(s))
                 f1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sigs.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+                low.append(lowest(s).tobytes())
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "low"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, low binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,19 +210,19 @@ def near_links(links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = (_sigs(b.column(2)) != _sigs(b.column(3))).sum(axis=1)
-            near = pa.array(d <= MAX_DISTANCE)
+            near = pa.array((d <= MAX_DISTANCE) & plausible(_padded(b.column(4)), _padded(b.column(5)), np.asarray(b.column(6)), np.asarray(b.column(7)), percent))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(d, pa.int64())], names=["a", "b", "dist"]).filter(near)
 
-    x, y = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    x, y = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("low").alias(f"l{k}")) for k in "ab")
     j = links.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, dist long")
+    return j.select("a", "b", "sa", "sb", "la", "lb", "na", "nb").mapInArrow(run, "a long, b long, dist long")
 
 
 def foreign_links(reps: DataFrame, percent: int) -> DataFrame:
     """(a, b, dist) within MAX_DISTANCE that share a key and are of different components (column comp)."""
     spark = reps.sparkSession
     n = common.parts_for(spark)
-    dealt = reps.select(F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int").alias("bucket"), "id", "n", "comp", "sig").repartition(n, "bucket")
+    dealt = reps.select(F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int").alias("bucket"), "id", "n", "comp", "sig", "low").repartition(n, "bucket")
 
     def entries(rows: pa.Table):
         """Distinct (key, component) of the bucket in order of key, their targets, and each row's entries."""
@@ -211,7 +254,7 @@ def foreign_links(reps: DataFrame, percent: int) -> DataFrame:
         ends = np.cumsum(sizes)
         return pa.table([rows.column("bucket"), rows.column("target"), pa.array([np.packbits(found[e - m : e]).tobytes() for e, m in zip(ends, sizes, strict=True)], pa.binary())], names=["bucket", "target", "bits"])
 
-    record = np.dtype([("key", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<i8"), ("slot", "<i4"), ("sig", "<u2", SYMBOLS)])
+    record = np.dtype([("key", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<i8"), ("slot", "<i4"), ("sig", "<u2", SYMBOLS), ("low", "<u4", LOWEST)])
 
     def send(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         keys, k, _, edges, which = entries(rows)
@@ -220,7 +263,7 @@ def foreign_links(reps: DataFrame, percent: int) -> DataFrame:
             found[edges[t] : edges[t + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edges[t + 1] - edges[t]).astype(bool)
         row, slot = np.nonzero(found[which].reshape(keys.shape))
         sigs, out = _sigs(rows.column("sig")), np.zeros(len(row), record)
-        out["key"], out["slot"], out["sig"] = keys[row, slot], slot, sigs[row]
+        out["key"], out["slot"], out["sig"], out["low"] = keys[row, slot], slot, sigs[row], _padded(rows.column("low"))[row]
         for name in ("id", "comp", "n"):
             out[name] = np.asarray(rows.column(name))[row]
         out = out[np.argsort(out["key"], kind="stable")]
@@ -257,18 +300,27 @@ def near_pairs(g: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _compared(g: np.ndarray, percent: int) -> np.ndarray:
-    out = []
+    """Pairs of different components within the distance that may be similar enough; a pair that shares several keys is
+    taken at the first of them only."""
+    out, slot = [], g["slot"][0]
     for x in range(0, len(g), 256):
         a = g[x : x + 256]
         for y in range(x, len(g), 1024):
             b = g[y : y + 1024]
             ok = (a["comp"][:, None] != b["comp"][None, :]) & (100 * np.minimum(a["n"][:, None], b["n"][None, :]) >= percent * np.maximum(a["n"][:, None], b["n"][None, :]))
+            if y < x + 256:
+                ok &= np.arange(x, x + len(a))[:, None] < np.arange(y, y + len(b))[None, :]
             i, j = np.nonzero(ok)
-            for s in range(0, len(i), 1 << 16):
-                p, q = a[i[s : s + (1 << 16)]], b[j[s : s + (1 << 16)]]
-                d = (p["sig"] != q["sig"]).sum(axis=1)
-                near = d <= MAX_DISTANCE
-                out.append(np.stack([np.minimum(p["id"], q["id"])[near], np.maximum(p["id"], q["id"])[near], d[near]], axis=1))
+            for s in range(0, len(i), 1 << 15):
+                i_, j_ = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+                same = (a["sig"][i_] == b["sig"][j_]).reshape(len(i_), CHUNKS, 4)
+                d = SYMBOLS - same.sum(axis=(1, 2))
+                chunk = np.argmax(same.sum(axis=2) >= 3, axis=1)
+                first = 4 * chunk + np.argmin(same[np.arange(len(i_)), chunk], axis=1)
+                near = np.flatnonzero((d <= MAX_DISTANCE) & (first == slot))
+                p, q = a[i_[near]], b[j_[near]]
+                may = plausible(p["low"], q["low"], p["n"], q["n"], percent)
+                out.append(np.stack([np.minimum(p["id"], q["id"])[may], np.maximum(p["id"], q["id"])[may], d[near][may]], axis=1))
     return np.unique(np.concatenate([np.zeros((0, 3), np.int64), *out]), axis=0)
 
 
@@ -321,8 +373,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     sk, _ = common.saved(sketches(docs, size, id_col, text_col), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
-    reps = real.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig")).alias("r"))
-    reps, _ = common.saved(reps.select("fp1", "fp2", "n", F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig")), "classes")
+    reps = real.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig", "low")).alias("r"))
+    reps, _ = common.saved(reps.select("fp1", "fp2", "n", F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.low").alias("low")), "classes")
     member = real.join(reps, [real.fp1 == reps.fp1, real.fp2 == reps.fp2, real.n_shingles == reps.n]).select("doc_id", "id")
     # an id with several texts is one document: it joins the classes of all of them
     spread = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top")
@@ -333,7 +385,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     tested = None
     for source in ("stars", "foreign"):
         if source == "foreign":
-            others = reps.join(comp, reps.id == comp.v, "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "sig")
+            others = reps.join(comp, reps.id == comp.v, "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "sig", "low")
             others, _ = common.saved(others, "class-components")
             near, _ = common.saved(foreign_links(others, percent).join(tested, ["a", "b"], "left_anti"), "near-links")
         for turn in range(4):
