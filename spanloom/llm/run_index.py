@@ -2,31 +2,43 @@
 run ends, and matching statistics by streaming patterns through it.
 
 The collection is a list of byte strings, each ended by its own separator, smaller than any byte and
-ordered as the strings are.  What is kept is of the size of the number of runs: head and start of each run,
-the text position of its first and last row, and the rows at which a class of suffixes begins that agree in their first
-``depth`` bytes.
+ordered as the strings are.  Kept are head and start of each run, the text position of its first and last row,
+and the rows at which a class of suffixes begins that agree in their first ``depth`` bytes, with the first text position of
+each class; suffixes themselves are not kept.  Two small tables give the run and the class of a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .rounds import Powers, between, sums_of
+
+_POWERS = Powers(0xA0761D6478BD642F | 1)
 _PACK = 7  # nine-bit symbols in 63 bits
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of a collection, and for each row the class rounds below it was told apart from the row before.
+def packed(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The next seven symbols of every position in one number, zeros from the separator on."""
+    n = len(text)
+    padded = np.zeros(n + _PACK, np.uint64)
+    padded[:n] = text
+    key = np.zeros(n, np.uint64)
+    for k in range(_PACK):
+        key |= padded[k : k + n] << np.uint64(9 * (_PACK - 1 - k))
+    near = np.flatnonzero(ends - np.arange(n) < _PACK)
+    gone = (9 * (_PACK - (ends[near] - near))).astype(np.uint64)
+    key[near] = key[near] >> gone << gone
+    return key
+
+
+def suffix_order(text: np.ndarray, ends: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Suffix array of a collection.
 
     ``text`` holds bytes + 1 and 0 for separators, ``ends`` the position of the separator after each position.  Suffixes are sorted by
     their first seven symbols, then by prefix doubling; only rows not yet told apart are sorted again.
     """
     n = len(text)
-    padded = np.zeros(n + _PACK, np.uint64)
-    padded[:n] = text
     left = ends - np.arange(n)  # symbols before the separator
-    key = np.zeros(n, np.uint64)
-    for k in range(_PACK):
-        key |= np.where(left > k, padded[k : k + n], np.uint64(0)) << np.uint64(9 * (_PACK - 1 - k))
     order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
@@ -41,12 +53,12 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         tied |= ~new
         rows = np.flatnonzero(tied)
         if not len(rows):
-            return order, rank
+            return order
         pos = order[rows]
         done = left[pos] < reach  # the suffix ends within what was compared: its separator, so its place, decides
         nxt = np.where(done, ends[pos], np.minimum(pos + reach, n - 1))
         # separators are ranked by place, below every other symbol
-        second = np.where(done, ends[pos], n + rank[nxt]) if reach >= _PACK else rank[nxt]
+        second = np.where(done, ends[pos], n + rank[nxt])
         key2 = (rank[pos].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         again = np.argsort(key2)
         pos, key2 = pos[again], key2[again]
@@ -69,7 +81,8 @@ class RunIndex:
         text = raw.astype(np.int16) + 1
         text[self.starts + sizes] = 0
         ends = np.repeat(self.starts + sizes, sizes + 1)
-        order, _ = suffix_order(text, ends)
+        self.text, self.ends, self.key = text, ends, packed(text, ends)
+        order = suffix_order(text, ends, self.key)
         before = text[order - 1].copy()
         whole = np.zeros(n, bool)
         whole[self.starts] = True
@@ -83,45 +96,50 @@ class RunIndex:
         count = np.bincount(text, minlength=258)
         self.below = np.cumsum(count) - count  # rows that start with a smaller symbol
         size = last - at + 1
+        self.run_at = np.repeat(np.arange(len(at), dtype=np.int32), size)  # the run of a row: a table is quicker than a search in run_start
         by = np.argsort(self.run_head, kind="stable")
         self.of_head = by  # runs of each symbol in row order
         self.head_edge = np.searchsorted(self.run_head[by], np.arange(259))
         ranked = np.cumsum(size[by]) - size[by]
         self.rank_before = np.empty(len(at), np.int64)  # rows of the same symbol in earlier runs
         self.rank_before[by] = ranked - ranked[np.minimum(self.head_edge[self.run_head[by]], max(len(by) - 1, 0))]
-        self.text, self.ends = text, ends
         self.classes, self.first_place = self._classes(order)
 
     def _classes(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows where a suffix differs in its first ``depth`` symbols from the row before (or is shorter), and the
         smallest text position of each such class."""
-        agree = self._common(order[1:], order[:-1], self.depth) >= self.depth
+        # a hash of the next ``depth`` symbols first: only rows that agree in it are compared
+        sums = sums_of(self.text.astype(np.uint64) + np.uint64(0x9E3779B9), _POWERS)
+        full = np.flatnonzero(self.ends - np.arange(self.n) >= self.depth)
+        hashed = np.full(self.n, -1, np.int64).view(np.uint64)
+        hashed[full] = between(sums, full, full + self.depth, _POWERS)
+        h, room = hashed[order], (self.ends - np.arange(self.n))[order] >= self.depth
+        agree = (h[1:] == h[:-1]) & room[1:] & room[:-1]
+        like = np.flatnonzero(agree)
+        agree[like] = self._common(order[like + 1], order[like], self.depth) >= self.depth
         begin = np.flatnonzero(np.r_[True, ~agree]) if len(order) else np.zeros(0, np.int64)
+        self.class_at = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.r_[begin, self.n]))
         return begin, np.minimum.reduceat(order, begin) if len(order) else order
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Symbols that suffixes at a and b share, up to ``most``; separators end it."""
         room = np.minimum(np.minimum(self.ends[a] - a, self.ends[b] - b), most)
-        out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(room > 0)
-        k = 0
+        out = room.copy()
+        live, k = np.flatnonzero(room > 0), 0
         while len(live):
-            step = 8
-            x, y = a[live] + k, b[live] + k
-            same = np.ones(len(live), bool)
-            add = np.zeros(len(live), np.int64)
-            for j in range(step):
-                ok = same & (k + j < room[live])
-                ok[ok] = self.text[x[ok] + j] == self.text[y[ok] + j]
-                same &= ok
-                add += ok
-            out[live] += add
-            live = live[same]
-            k += step
+            differ = self.key[a[live] + k] ^ self.key[b[live] + k]
+            off = np.flatnonzero(differ)
+            if len(off):
+                own, x, lead = live[off], differ[off], np.zeros(len(off), np.int64)
+                for j in range(1, _PACK):
+                    lead += (x >> np.uint64(9 * (_PACK - j))) == 0
+                out[own] = np.minimum(room[own], k + lead)
+            k += _PACK
+            live = live[(differ == 0) & (room[live] > k)]
         return out
 
     def _run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.run_start, row, "right") - 1
+        return self.run_at[row]
 
     def matching_statistics(self, patterns: list[bytes]):
         """For each pattern, right to left in lock step: yields (offset, lanes, length, row, place) at every step: the
@@ -187,4 +205,4 @@ class RunIndex:
         return np.clip(np.searchsorted(self._head_row, c * (len(self.run_head) + 1) + run, "right"), lo, hi)
 
     def class_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.classes, row, "right") - 1
+        return self.class_at[row]

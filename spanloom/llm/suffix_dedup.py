@@ -33,7 +33,7 @@ from .run_index import RunIndex
 
 LENGTH = 100
 K = 24
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 19
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = Powers(0x9E3779B97F4A7C17)
@@ -74,7 +74,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
         new |= starts[windows]
         begin = np.flatnonzero(new)
         end = np.r_[begin[1:], len(windows)] - 1
-        out.append((windows[begin] + a, windows[end] + a, h[own[begin]]))
+        # minimizers are small hashes: mixed again, they fill all targets alike
+        out.append((windows[begin] + a, windows[end] + a, mixed(h[own[begin]])))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
