@@ -354,15 +354,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
 
 
-def _crossing(near: DataFrame, comp: DataFrame, best: bool) -> DataFrame:
-    """(a, b) of the links between different components; with ``best`` one for each class at the end b: the smallest id
-    within the distance LIKELY, else the nearest."""
+def _crossing(near: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b, dist) of the links between different components."""
     x, y = (comp.select(F.col("v").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
-    cross = near.join(x, "a", "left").join(y, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    if not best:
-        return cross.select("a", "b")
+    return near.join(x, "a", "left").join(y, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "dist")
+
+
+def _best(near: DataFrame) -> DataFrame:
+    """(a, b): one link for each class at the end b, the smallest id within the distance LIKELY, else the nearest."""
     rank = F.struct((F.col("dist") > LIKELY).alias("far"), F.when(F.col("dist") <= LIKELY, F.col("a")).alias("first"), "dist", "a")
-    return cross.groupBy("b").agg(F.min(rank).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return near.groupBy("b").agg(F.min(rank).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
 # ---------------------------------------------------------------- the operator
@@ -390,12 +391,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             near, _ = common.saved(foreign_links(others, percent).join(tested, ["a", "b"], "left_anti"), "near-links")
         for turn in range(4):
             # some turns take one link of each class only, since one confirmed link joins whole components; then all that is left
-            todo, _ = common.saved(_crossing(near, comp, best=turn < 3), "todo")
+            near, _ = common.saved(_crossing(near, comp), "near-links")
+            if turn:
+                near = near.join(todo, ["a", "b"], "left_anti")
+            todo, _ = common.saved(_best(near) if turn < 3 else near.select("a", "b"), "todo")
             tested = todo if tested is None else tested.union(todo)
             if todo.isEmpty():
                 break
             new, _ = common.saved(confirmed(todo, docs, size, percent, id_col, text_col), "links")
-            near, _ = common.saved(near.join(todo, ["a", "b"], "left_anti"), "near-links")
             if not new.isEmpty():
                 links, _ = common.saved(links.union(new), "links")
                 comp, _ = common.saved(components(links), "components")
