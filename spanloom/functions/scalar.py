@@ -96,7 +96,7 @@ def attribute_text(value: Column) -> Column:
         value["stringValue"],
         value["boolValue"].cast("string"),
         value["intValue"].cast("string"),
-        F.format_string("%f", value["doubleValue"]),
+        F.when(value["doubleValue"].isNotNull(), F.format_string("%f", value["doubleValue"])),
         F.when(value["arrayValue"].isNotNull(), F.lit("[array]")),
         F.when(value["kvlistValue"].isNotNull(), F.lit("[map]")),
         F.when(value["bytesValue"].isNotNull(), F.concat(F.lit("["), F.length(F.unbase64(value["bytesValue"])).cast("string"), F.lit(" bytes]"))),

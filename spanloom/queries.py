@@ -288,7 +288,7 @@ def _manifest(s: DataFrame) -> DataFrame:
 
 query("block_overlap", f"SELECT block, span_count FROM {_BLOCKS} WHERE max_time >= {START + 30 * STEP} AND min_time <= {START + 80 * STEP}")(lambda s, _: store.overlapping(_manifest(s), START + 30 * STEP, START + 80 * STEP).select("block", "span_count"))
 query("retention", f"SELECT block FROM {_BLOCKS} WHERE max_time < {START + 200 * STEP}")(lambda s, _: store.expired(_manifest(s), START + 200 * STEP).select("block"))
-query("compaction_plan", f"SELECT CAST(d % 3 AS INT) AS level, string_agg(block, ',' ORDER BY block) AS blocks, CAST(sum(span_count) AS BIGINT) AS spans FROM (SELECT *, CAST(substr(block, 2) AS INT) AS d FROM {_BLOCKS}) GROUP BY 1 HAVING count(*) >= 2 AND {START + 3 * STEP} - (min(d) * 86400000000000 + {START}) >= CASE d % 3 WHEN 0 THEN 600 WHEN 1 THEN 7200 ELSE 14400 END * 1000000000")(
+query("compaction_plan", f"SELECT CAST(d % 3 AS INT) AS level, string_agg(block, ',' ORDER BY block) AS blocks, CAST(sum(span_count) AS BIGINT) AS spans FROM (SELECT *, CAST(substr(block, 2) AS INT) AS d FROM {_BLOCKS}) GROUP BY 1 HAVING count(*) >= 2 AND {START + 3 * STEP} - (min(d) * 86400000000000 + {START}) >= CASE min(d) % 3 WHEN 0 THEN 600 WHEN 1 THEN 7200 ELSE 14400 END * 1000000000::BIGINT")(
     lambda s, _: store.compaction_plan(_manifest(s), START + 3 * STEP).select("level", F.array_join("blocks", ",").alias("blocks"), "spans")
 )
 query("wal_gap", f"SELECT d * 10 + 8 AS missing, lead(d) OVER (ORDER BY d) * 10 AS next FROM (SELECT CAST(substr(block, 2) AS BIGINT) AS d FROM {_BLOCKS}) QUALIFY d % 4 = 0 AND lead(d) OVER (ORDER BY d) IS NOT NULL")(lambda s, _: store.segment_gaps(_manifest(s)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,7 @@ def _map(attrs: Column, prefix: str = "") -> Column:
 
 def _over(*maps: Column) -> Column:
     """Maps laid over each other; later ones win."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.array_contains(F.map_keys(m), k)), m)
-    return out
+    return reduce(lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.array_contains(F.map_keys(high), k)), high), maps)
 
 
 def _one(key: str, value: Column, when: Column | None = None) -> Column:
