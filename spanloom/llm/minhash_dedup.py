@@ -88,13 +88,15 @@ def lowest(shingles: np.ndarray) -> np.ndarray:
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Rows of lowest hashes (padded with the largest number): may the sets be similar enough?  Among the smallest hashes of both
     sets together, those in both are counted."""
+    if len(a) > 2048:  # a few megabytes at a time
+        return np.concatenate([plausible(a[k : k + 2048], b[k : k + 2048], na[k : k + 2048], nb[k : k + 2048], percent) for k in range(0, len(a), 2048)])
     both = np.concatenate([a, b], axis=1)
     both.sort(axis=1)
     pad = both == _PAD
     twin = np.zeros(both.shape, bool)
     twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & ~pad[:, 1:]
     own = ~twin & ~pad
-    counted = np.cumsum(own, axis=1) <= LOWEST
+    counted = np.cumsum(own, axis=1, dtype=np.int16) <= LOWEST
     whole = (na <= LOWEST) & (nb <= LOWEST)
     counted |= whole[:, None]
     union = (own & counted).sum(axis=1)
@@ -311,16 +313,17 @@ def _compared(g: np.ndarray, percent: int) -> np.ndarray:
             if y < x + 256:
                 ok &= np.arange(x, x + len(a))[:, None] < np.arange(y, y + len(b))[None, :]
             i, j = np.nonzero(ok)
-            for s in range(0, len(i), 1 << 15):
-                i_, j_ = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+            for s in range(0, len(i), 1 << 13):
+                i_, j_ = i[s : s + (1 << 13)], j[s : s + (1 << 13)]
                 same = (a["sig"][i_] == b["sig"][j_]).reshape(len(i_), CHUNKS, 4)
                 d = SYMBOLS - same.sum(axis=(1, 2))
                 chunk = np.argmax(same.sum(axis=2) >= 3, axis=1)
                 first = 4 * chunk + np.argmin(same[np.arange(len(i_)), chunk], axis=1)
                 near = np.flatnonzero((d <= MAX_DISTANCE) & (first == slot))
-                p, q = a[i_[near]], b[j_[near]]
-                may = plausible(p["low"], q["low"], p["n"], q["n"], percent)
-                out.append(np.stack([np.minimum(p["id"], q["id"])[may], np.maximum(p["id"], q["id"])[may], d[near][may]], axis=1))
+                p, q = i_[near], j_[near]
+                may = plausible(a["low"][p], b["low"][q], a["n"][p], b["n"][q], percent)
+                x_id, y_id = a["id"][p][may], b["id"][q][may]
+                out.append(np.stack([np.minimum(x_id, y_id), np.maximum(x_id, y_id), d[near][may]], axis=1))
     return np.unique(np.concatenate([np.zeros((0, 3), np.int64), *out]), axis=0)
 
 
