@@ -19,6 +19,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ BLOCK = 128
 MAX_BITS = 20
 SHARD_IDS = 1 << 19
 COUNTS = -1
-#: Texts of these characters only split the same under ``re`` as under the vocabulary's pattern.
-_PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´-¸»¿-ÿ]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_CACHE = 500_000
-_TEXTS = 256
+#: Common characters: printable ASCII and letters and signs of Latin-1, with line feeds.
+_PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
+#: White space in a row, and what ends a chunk as a piece of its own.
+_RUNS, _ENDS = ("  ", "\n\n", " \n", "\n "), frozenset(",.")
+_CACHE = 250_000
+_TEXTS = 64
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -67,9 +69,10 @@ class _Known(dict):
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, with what it said remembered.
 
-    The library's pre-tokenizer cuts a text into pieces, and merges never cross them, so ids of a piece
-    seen before are remembered.  A text with characters outside :data:`_PLAIN`, or one that holds a
-    special token's string, goes to the library whole.
+    The library's pre-tokenizer cuts a text into pieces, and merges never cross them.  A text of the characters
+    :data:`_PLAIN` without two white-space characters in a row is cut before each space and line feed; such
+    chunks are whole pieces, so ids of a chunk seen before are remembered.  A comma or full stop behind a letter at a chunk's end is a piece of its
+    own.  Any other text, and one that holds a special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -87,27 +90,43 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
         self.n_ids = max(vocab.values(), default=0) + 1
-        self.pieces = _Known(_CACHE)
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.chunks = _Known(_CACHE)
+        self.ends = {c: self._whole(c) for c in ",."}
+        self.feed = len(self._whole("\n")) // np.dtype(self.kind).itemsize
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        return _PIECE.findall(text) if self.cuts and _PLAIN.fullmatch(text) and not any(s in text for s in self.special) else None
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.pieces
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text cut before spaces (left out) and line feeds; the first chunk is read as one behind a line feed."""
+        if not self.cuts or not text or text[0] in " \n" or any(x in text for x in _RUNS) or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        return ("\n" + text.replace("\n", " \n")).split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        known, bare, ended = self.chunks, [], []
+        for c in new:
+            if c[-1:] in _ENDS and c[-2:-1].isalpha():
+                ended.append(c)
+                c = c[:-1]
+                if c in known or c in known.old:
+                    continue
+            bare.append(c)
+        for c, e in zip(bare, self.tok.encode_batch_fast([c if c[:1] == "\n" else " " + c for c in bare], add_special_tokens=False), strict=True):
+            known[c] = array(self.code, e.ids).tobytes()
+        for c in ended:
+            known[c] = known[c[:-1]] + self.ends[c[-1]]
+
+    def ids(self, text: str) -> np.ndarray:
+        """One text at a time: its chunks stay in the processor's cache from cutting to joining."""
+        chunks, known = self._chunks(text), self.chunks
+        if chunks is None:
+            return np.frombuffer(self._whole(text), self.kind)
         known.turn()
-        cut = [self._pieces(t) for t in texts]
-        met = set()
-        for pieces in cut:
-            if pieces:
-                met.update(pieces)
-        if new := known.unknown(met):
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.asarray(e.ids, self.kind).tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(self._whole(t) if pieces is None else b"".join(map(get, pieces)), self.kind) for t, pieces in zip(texts, cut, strict=True)]
+        if new := known.unknown(set(chunks)):
+            self._learn(new)
+        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.kind)[self.feed :]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,7 +146,7 @@ def _tokenised(path: str, end_id: int):
         for b in batches:
             for k in range(0, b.num_rows, _TEXTS):
                 some = b.slice(k, _TEXTS)
-                ids = [np.concatenate([x, end]) for x in enc.ids([t or "" for t in some.column(1).to_pylist()])]
+                ids = [np.concatenate([enc.ids(t or ""), end]) for t in some.column(1).to_pylist()]
                 sizes = np.asarray([len(x) for x in ids])
                 counts += np.bincount(np.concatenate(ids), minlength=len(counts))
                 yield _id_rows(some.column(0), part, seq, at + np.cumsum(sizes) - sizes, sizes, [x.tobytes() for x in ids])
