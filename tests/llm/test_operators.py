@@ -239,7 +239,7 @@ def test_minhash_dedup(corpus, plain, empty, size):
 
 def test_deduplicated_keeps_one_of_each(corpus, plain):
     left = minhash_dedup.deduplicated(corpus)
-    want = {d for d, _, c in components_of(plain, 5, 80) if d == c}
+    want = {d for d, _, c in components_of(plain, 5, 80) if d is not None and d == c}
     assert left.columns == corpus.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(want)
 
 
@@ -362,7 +362,7 @@ MAIN = "A & B\n\nFirst paragraph with bold text that goes on and on.\n\nTo.\n\nO
 
 @pytest.mark.parametrize("tag", ["article", "main", "div"])
 def test_main_text(tag):
-    assert html_text.main_text(PAGE.format(open=f"<{tag}>", close=f"</{tag}>")) == MAIN
+    assert html_text.main_text(PAGE.replace("{open}", f"<{tag}>").replace("{close}", f"</{tag}>")) == MAIN
 
 
 def test_html_edges(spark):
