@@ -32,6 +32,8 @@ BLOCK = frozenset(
 #: Never article text, wherever they stand.
 SKIP = frozenset("head title script style noscript template iframe object svg canvas math nav footer aside form button select textarea menu dialog audio video map".split())
 ROOTS = frozenset(("article", "main"))
+#: Parts of a text, never the element that holds all of it.
+PARTS = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table tbody thead tfoot tr td th caption".split())
 #: Words of class, id and role that mark parts beside the article.
 BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|pagination|pager|skip|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])",
@@ -169,9 +171,7 @@ def main_text(html: str | None) -> str:
                 votes[key] = votes.get(key, 0) + len(text)
     roots = {number for (_, number, tag) in votes if tag in ROOTS}
     if not roots:
-        deep = [k for k, v in votes.items() if v >= 0.6 * total and (k[2] in BLOCK)]
-        while deep and max(deep)[2] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "pre", "blockquote", "td", "th"):
-            deep.remove(max(deep))
+        deep = [k for k, v in votes.items() if v >= 0.6 * total and k[2] in BLOCK and k[2] not in PARTS]
         roots = {max(deep)[1]} if deep else set()
     kept = [text for text, _, path in lines if not roots or any(number in roots for _, number, _ in path)]
     return "\n\n".join(kept)
