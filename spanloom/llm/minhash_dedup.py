@@ -46,6 +46,8 @@ SLACK, WHOLE_SLACK = 11.25, 1.0
 CHUNKS = 16
 MAX_DISTANCE = 28
 LARGE_KEY = 2048
+#: Signatures whose keys a map task sorts at a time.
+LOCAL_ROWS = 1 << 14
 #: A distance at which most pairs are similar enough.
 LIKELY = 12
 
@@ -182,17 +184,25 @@ def star_links(reps: DataFrame) -> DataFrame:
     """(a, b): every class b with the smallest id a it shares a key with, for each key."""
     targets = common.parts_for(reps.sparkSession)
 
+    def packed(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        keys = keys_of(sigs)
+        keys, lead, x, y = _stars(keys.ravel(), np.repeat(ids, keys.shape[1]))
+        edges = _by_target(keys, targets)
+        rows = [(t, keys[edges[t] : edges[t + 1]].tobytes(), lead[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t] < edges[t + 1]]
+        rows.append((-1 - int(ids[0]) % targets, x.tobytes(), y.tobytes()))  # links found here
+        t, k, i = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(i, pa.binary())], names=["target", "k", "i"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sigs = [], []
         for b in batches:
-            ids = np.asarray(b.column(0))
-            keys = keys_of(_sigs(b.column(1)))
-            keys, lead, x, y = _stars(keys.ravel(), np.repeat(ids, keys.shape[1]))
-            edges = _by_target(keys, targets)
-            full = [t for t in range(targets) if edges[t] < edges[t + 1]]
-            rows = [(t, keys[edges[t] : edges[t + 1]].tobytes(), lead[edges[t] : edges[t + 1]].tobytes()) for t in full]
-            rows.append((-1 - int(ids[0]) % targets, x.tobytes(), y.tobytes()))  # links found here
-            t, k, i = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(i, pa.binary())], names=["target", "k", "i"])
+            ids.append(np.asarray(b.column(0)))
+            sigs.append(_sigs(b.column(1)))
+            if sum(map(len, ids)) >= LOCAL_ROWS:
+                yield packed(np.concatenate(ids), np.concatenate(sigs))
+                ids, sigs = [], []
+        if ids:
+            yield packed(np.concatenate(ids), np.concatenate(sigs))
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         k, i = (b"".join(rows.column(c).to_pylist()) for c in ("k", "i"))
@@ -202,8 +212,8 @@ def star_links(reps: DataFrame) -> DataFrame:
             _, _, x, y = _stars(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64))
         return pa.table([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    packed = reps.select("id", "sig").mapInArrow(local, "target int, k binary, i binary")
-    return packed.groupBy("target").applyInArrow(meet, "a long, b long").distinct()
+    sent = reps.select("id", "sig").mapInArrow(local, "target int, k binary, i binary")
+    return sent.groupBy("target").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_links(links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -374,7 +384,11 @@ def _best(near: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    spark = docs.sparkSession
+    with common.batches_of(docs.sparkSession, 500):
+        return _near_duplicates(docs, size, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     sk, _ = common.saved(sketches(docs, size, id_col, text_col), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig", "low")).alias("r"))
