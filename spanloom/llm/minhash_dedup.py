@@ -201,7 +201,7 @@ def star_links(reps: DataFrame) -> DataFrame:
             if sum(map(len, ids)) >= LOCAL_ROWS:
                 yield packed(np.concatenate(ids), np.concatenate(sigs))
                 ids, sigs = [], []
-        if ids:
+        if sum(map(len, ids)):
             yield packed(np.concatenate(ids), np.concatenate(sigs))
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
