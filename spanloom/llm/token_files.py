@@ -37,42 +37,24 @@ SHARD_IDS = 1 << 19
 COUNTS = -1
 #: Common characters: printable ASCII and letters and signs of Latin-1, with line feeds.
 _PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
-#: White space in a row, and what ends a chunk as a piece of its own.
-_RUNS, _ENDS = ("  ", "\n\n", " \n", "\n "), frozenset(",.")
-_CACHE = 250_000
+#: White space in a row.
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+#: A comma or full stop that is behind neither letter nor digit: it may belong to a longer run of signs.
+_ODD = re.compile(r"[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
+_CACHE = 400_000
 _TEXTS = 64
 
 
 # ---------------------------------------------------------------- tokenizer
 
 
-class _Known(dict):
-    """A map of at most two generations of ``room`` entries; entries in use move to the young one."""
-
-    def __init__(self, room: int):
-        self.room, self.old = room, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def unknown(self, keys) -> list:
-        old = self.old
-        return [k for k in keys if k not in self and k not in old]
-
-    def turn(self) -> None:
-        if len(self) > self.room:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, with what it said remembered.
 
     The library's pre-tokenizer cuts a text into pieces, and merges never cross them.  A text of the characters
-    :data:`_PLAIN` without two white-space characters in a row is cut before each space and line feed; such
-    chunks are whole pieces, so ids of a chunk seen before are remembered.  A comma or full stop behind a letter at a chunk's end is a piece of its
-    own.  Any other text, and one that holds a special token's string, goes to the library whole.
+    :data:`_PLAIN` without two white-space characters in a row is cut before each space, line feed, and comma or full stop behind a
+    letter or digit; such chunks are whole pieces, so ids of a chunk seen before are remembered.  Any other text, and one that holds a
+    special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -91,42 +73,44 @@ class Encoder:
         self.kind = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
         self.n_ids = max(vocab.values(), default=0) + 1
         self.code = "H" if self.kind == "<u2" else "I"
-        self.chunks = _Known(_CACHE)
-        self.ends = {c: self._whole(c) for c in ",."}
+        # what is known, in two generations of at most _CACHE chunks; chunks in use move to the young one
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.feed = len(self._whole("\n")) // np.dtype(self.kind).itemsize
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
-        """The text cut before spaces (left out) and line feeds; the first chunk is read as one behind a line feed."""
-        if not self.cuts or not text or text[0] in " \n" or any(x in text for x in _RUNS) or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        """The text cut before spaces (left out), line feeds, and commas and full stops (marked); the first chunk is read as
+        one behind a line feed."""
+        if not self.cuts or not text or text[0] in " \n" or any(x in text for x in _RUNS) or not _PLAIN.fullmatch(text) or _ODD.search(text) or any(s in text for s in self.special):
             return None
-        return ("\n" + text.replace("\n", " \n")).split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        known, bare, ended = self.chunks, [], []
-        for c in new:
-            if c[-1:] in _ENDS and c[-2:-1].isalpha():
-                ended.append(c)
-                c = c[:-1]
-                if c in known or c in known.old:
-                    continue
-            bare.append(c)
-        for c, e in zip(bare, self.tok.encode_batch_fast([c if c[:1] == "\n" else " " + c for c in bare], add_special_tokens=False), strict=True):
-            known[c] = array(self.code, e.ids).tobytes()
-        for c in ended:
-            known[c] = known[c[:-1]] + self.ends[c[-1]]
+        return ("\n" + text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \n")).split(" ")
+
+    def _learn(self, missing: set[str]) -> None:
+        """Take chunks over from the older generation, or encode them."""
+        young, old, new = self.young, self.old, []
+        for c in missing:
+            ids = old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                young[c] = ids
+        whole = [c if c[:1] == "\n" else c[1:] if c[:1] == "\x01" else " " + c for c in new]
+        for c, e in zip(new, self.tok.encode_batch_fast(whole, add_special_tokens=False) if new else (), strict=True):
+            young[c] = array(self.code, e.ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """One text at a time: its chunks stay in the processor's cache from cutting to joining."""
-        chunks, known = self._chunks(text), self.chunks
+        chunks = self._chunks(text)
         if chunks is None:
             return np.frombuffer(self._whole(text), self.kind)
-        known.turn()
-        if new := known.unknown(set(chunks)):
-            self._learn(new)
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.kind)[self.feed :]
+        if len(self.young) > _CACHE:
+            self.young, self.old = {}, self.young
+        if missing := set(chunks).difference(self.young):
+            self._learn(missing)
+        return np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), self.kind)[self.feed :]
 
 
 _encoders: dict[str, Encoder] = {}
