@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -53,17 +54,10 @@ def saved(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for what is written inside: rows with whole texts or sets are wide, and both the
-    executor and its Python worker hold a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

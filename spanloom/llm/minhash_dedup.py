@@ -136,6 +136,7 @@ def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
                 sigs.append(signature(s).tobytes() if len(s) else b"")
                 low.append(lowest(s).tobytes())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "low"])
+        common.trim()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, low binary")
 
@@ -203,6 +204,7 @@ def star_links(reps: DataFrame) -> DataFrame:
                 ids, sigs = [], []
         if sum(map(len, ids)):
             yield packed(np.concatenate(ids), np.concatenate(sigs))
+        common.trim()
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         k, i = (b"".join(rows.column(c).to_pylist()) for c in ("k", "i"))
@@ -224,6 +226,7 @@ def near_links(links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             d = (_sigs(b.column(2)) != _sigs(b.column(3))).sum(axis=1)
             near = pa.array((d <= MAX_DISTANCE) & plausible(_padded(b.column(4)), _padded(b.column(5)), np.asarray(b.column(6)), np.asarray(b.column(7)), percent))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(d, pa.int64())], names=["a", "b", "dist"]).filter(near)
+        common.trim()
 
     x, y = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("low").alias(f"l{k}")) for k in "ab")
     j = links.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -347,6 +350,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
         for b in batches:
             found = pa.array([s.tobytes() for s in shingle_sets(_text_table(b), size)], pa.binary())
             yield pa.record_batch([b.column(0), found], names=["id", "s"])
+        common.trim()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,6 +362,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= percent * (len(both) - shared))
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        common.trim()
 
     ids, _ = common.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     few = ids.count() <= common.MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
@@ -384,11 +389,6 @@ def _best(near: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    with common.batches_of(docs.sparkSession, 500):
-        return _near_duplicates(docs, size, percent, id_col, text_col)
-
-
-def _near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     sk, _ = common.saved(sketches(docs, size, id_col, text_col), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig", "low")).alias("r"))

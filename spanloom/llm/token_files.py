@@ -323,12 +323,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     seq) and ``code`` (code length of every id).  A third table holds ids between the passes; it is
     removed at the end.  To the driver go one count for each id of the vocabulary and one sum for each
     range partition."""
-    spark = docs.sparkSession
-    with common.batches_of(spark, 1000):
-        _write(docs, path, tokenizer, end_id, id_col, text_col)
-
-
-def _write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str, text_col: str) -> None:
     spark = docs.sparkSession
     table, ids_path = common.saved(tokenize(docs, tokenizer, end_id, id_col, text_col), "token-ids", compression="none")
     sums, ids = table.where(F.col("seq") == COUNTS), table.where(F.col("seq") >= 0)
