@@ -37,8 +37,6 @@ SHARD_IDS = 1 << 19
 COUNTS = -1
 #: Common characters: printable ASCII and letters and signs of Latin-1, with line feeds.
 _PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
-#: White space in a row.
-_RUNS = ("  ", "\n\n", " \n", "\n ")
 #: A comma or full stop that is behind neither letter nor digit: it may belong to a longer run of signs.
 _ODD = re.compile(r"[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
 _CACHE = 400_000
@@ -84,22 +82,27 @@ class Encoder:
     def _chunks(self, text: str) -> list[str] | None:
         """The text cut before spaces (left out), line feeds, and commas and full stops (marked); the first chunk is read as
         one behind a line feed."""
-        if not self.cuts or not text or text[0] in " \n" or any(x in text for x in _RUNS) or not _PLAIN.fullmatch(text) or _ODD.search(text) or any(s in text for s in self.special):
+        if not self.cuts or not text or text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not _PLAIN.fullmatch(text) or _ODD.search(text):
             return None
+        for s in self.special:
+            if s in text:
+                return None
         return ("\n" + text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \n")).split(" ")
 
     def _learn(self, missing: set[str]) -> None:
         """Take chunks over from the older generation, or encode them."""
-        young, old, new = self.young, self.old, []
-        for c in missing:
-            ids = old.get(c)
-            if ids is None:
-                new.append(c)
-            else:
-                young[c] = ids
-        whole = [c if c[:1] == "\n" else c[1:] if c[:1] == "\x01" else " " + c for c in new]
-        for c, e in zip(new, self.tok.encode_batch_fast(whole, add_special_tokens=False) if new else (), strict=True):
-            young[c] = array(self.code, e.ids).tobytes()
+        young, old = self.young, self.old
+        if old:
+            again = old.keys() & missing
+            for c in again:
+                young[c] = old[c]
+            missing = missing - again
+        if missing:
+            new = list(missing)
+            whole = [c if c[:1] == "\n" else c[1:] if c[:1] == "\x01" else " " + c for c in new]
+            code = self.code
+            for c, e in zip(new, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                young[c] = array(code, e.ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """One text at a time: its chunks stay in the processor's cache from cutting to joining."""
