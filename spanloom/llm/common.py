@@ -15,6 +15,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ def saved(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
 
 def trim() -> None:
     """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -133,9 +133,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in batches:
-            got = pa.array([score(t.as_py() or "") for t in b.column(len(wanted))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(wanted)], got], names=[*wanted, into])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):  # whole texts go back too: a few at a time
+                b = batch.slice(k, 500)
+                got = pa.array([score(t.as_py() or "") for t in b.column(len(wanted))], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(wanted)], got], names=[*wanted, into])
+        common.trim()
 
     schema = T.StructType([*(out.schema[c] for c in wanted), T.StructField(into, T.DoubleType())])
     return out.mapInArrow(run, schema)
