@@ -55,8 +55,16 @@ def saved(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def trim() -> None:
-    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+#: Ways to empty what operators remember in a Python worker from task to task.
+caches: list = []
+
+
+def trim(keep_caches: bool = False) -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks and operators.
+    An operator that remembers nothing itself drops what others have left in the worker."""
+    if not keep_caches:
+        for empty in caches:
+            empty()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -117,6 +117,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+common.caches.append(_encoders.clear)
 
 
 def _encoder(path: str) -> Encoder:
@@ -140,7 +141,7 @@ def _tokenised(path: str, end_id: int):
                 seq, at = seq + len(ids), at + int(sizes.sum())
         if seq:
             yield _id_rows(pa.array([None], pa.int64()), part, COUNTS, np.asarray([at]), np.asarray([at]), [counts.astype("<i8").tobytes()])
-        common.trim()
+        common.trim(keep_caches=True)
 
     return run
 
