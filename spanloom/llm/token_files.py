@@ -211,20 +211,19 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Code bits of ``ids`` in 64-bit words, and the bit offset of every :data:`BLOCK`-th id."""
-    n = lengths[ids].astype(np.int64)
+    sizes = lengths.astype(np.int64)
+    high = codes << (64 - np.maximum(sizes, 1)).astype(np.uint64)  # codes at the upper end of a word
+    n, c = sizes[ids], high[ids]
     ends = np.cumsum(n)
     starts = ends - n
     words = np.zeros((int(ends[-1]) if len(ids) else 0) // 64 + 3, np.uint64)
     w, off = starts >> 6, starts & 63
-    room = 64 - off - n
-    c = codes[ids]
-    fits = room >= 0
-    head = np.where(fits, c << np.maximum(room, 0).astype(np.uint64), c >> np.maximum(-room, 0).astype(np.uint64))
+    head = c >> off.astype(np.uint64)
     if len(ids):
         at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         words[w[at]] |= np.bitwise_or.reduceat(head, at)
-        tail = np.flatnonzero(~fits)
-        words[w[tail] + 1] |= c[tail] << (64 + room[tail]).astype(np.uint64)
+        tail = np.flatnonzero(off + n > 64)
+        words[w[tail] + 1] |= c[tail] << (64 - off[tail]).astype(np.uint64)
     return words.astype(">u8").tobytes(), starts[::BLOCK].astype("<u8")
 
 
