@@ -1,6 +1,6 @@
 """Registered queries of the trace engine over spans derived from ``events``, each with its SQL.
 
-The window of most queries is the first 48 hours of the data, in steps of an hour, with a lookback of five hours.
+The window of most queries is the whole month of the data, in steps of an hour, with a lookback of five hours.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from .streaming import store
 
 START = 1704067200000000000
 STEP = 3600 * scalar.SECOND
-END = START + 48 * STEP
+END = START + 31 * 24 * STEP
 BACK = 5 * STEP
-MONTH = START + 31 * 24 * STEP
 
 #: The derivation of spans and links, in the dialect of the reference queries.
 _CTE = """
@@ -204,12 +203,12 @@ query("self_join_parent", "SELECT c.span_id, p.name AS parent_name, c.start_time
 
 # ---------------------------------------------------------------- discovery
 
-query("services", "SELECT DISTINCT service_name FROM spans")(lambda s, _: lookups.services(s, START, MONTH))
-query("operations", "SELECT DISTINCT name FROM spans WHERE service_name = 'svc-2'")(lambda s, _: lookups.operations(s, START, MONTH, "svc-2"))
-query("attribute_keys", "SELECT unnest(['k', 'span.kind', 'status.code', 'service.name', 'host.id']) AS key, false AS limited")(lambda s, _: lookups.attribute_keys(s, START, MONTH))
-query("attribute_values", "SELECT value, true AS limited FROM (SELECT DISTINCT host AS value FROM spans WHERE host IS NOT NULL ORDER BY 1 LIMIT 5)")(lambda s, _: lookups.attribute_values(s, "host.id", START, MONTH, 5))
-query("tag_names", "SELECT unnest(['k', 'span.kind', 'status.code', 'service.name', 'host.id']) AS key")(lambda s, _: lookups.tag_names(s, START, MONTH))
-query("tag_values", "SELECT DISTINCT kind AS value FROM spans")(lambda s, _: lookups.tag_values(s, "span.span.kind", START, MONTH))
+query("services", "SELECT DISTINCT service_name FROM spans")(lambda s, _: lookups.services(s, START, END))
+query("operations", "SELECT DISTINCT name FROM spans WHERE service_name = 'svc-2'")(lambda s, _: lookups.operations(s, START, END, "svc-2"))
+query("attribute_keys", "SELECT unnest(['k', 'span.kind', 'status.code', 'service.name', 'host.id']) AS key, false AS limited")(lambda s, _: lookups.attribute_keys(s, START, END))
+query("attribute_values", "SELECT value, true AS limited FROM (SELECT DISTINCT host AS value FROM spans WHERE host IS NOT NULL ORDER BY 1 LIMIT 5)")(lambda s, _: lookups.attribute_values(s, "host.id", START, END, 5))
+query("tag_names", "SELECT unnest(['k', 'span.kind', 'status.code', 'service.name', 'host.id']) AS key")(lambda s, _: lookups.tag_names(s, START, END))
+query("tag_values", "SELECT DISTINCT kind AS value FROM spans")(lambda s, _: lookups.tag_values(s, "span.span.kind", START, END))
 query("tag_name_forms", "SELECT unnest(['http.method', 'http.method', 'host.id', 'service.name']) AS tag")(lambda s, _: s.sparkSession.createDataFrame([(".http.method",), ("span.http.method",), ("resource.host.id",), ("service.name",)], "t string").select(scalar.normalized_tag_name(F.col("t")).alias("tag")))
 query("index_stats", "SELECT count(*) AS total_spans, count(DISTINCT trace_id) AS total_traces, CAST(5 AS BIGINT) AS tag_keys, count(DISTINCT k) + count(DISTINCT host) + count(DISTINCT kind) + count(DISTINCT status) + count(DISTINCT service_name) AS tag_values FROM spans")(lambda s, _: lookups.stats(s))
 query("wide_attributes", "SELECT span_id, k AS __attr_k, status AS \"__attr_status.code\" FROM spans")(lambda s, _: lookups.wide_attributes(s, ["k", "status.code"]))

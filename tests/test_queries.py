@@ -15,6 +15,14 @@ def test_query_equals_its_sql(spark, sf, name):
     assert rows_of(got) == rows_of(want)
 
 
+def test_window_holds_the_whole_table(spark, sf):
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    run = {x: queries.queries()[x](spark, sf) for x in ("count_global", "heatmap", "count_over_time", "exemplars_attached", "match_eq")}
+    total = {x: run[x].selectExpr(f"sum({c})").first()[0] for x, c in (("count_global", "value"), ("heatmap", "count"), ("count_over_time", "value"), ("exemplars_attached", "value"))}
+    assert set(total.values()) == {n}
+    assert run["match_eq"].count() == queries.tables(spark, sf)[0].where("tags['k'] = '7'").count()
+
+
 def test_entry(spark):
     e = importlib.import_module("__spark_entry__")
     assert e.entry(spark).columns == ["series", "time_ns", "value"]
