@@ -1,23 +1,24 @@
 r"""License scan by conditional compression.
 
-Candidate blocks are runs of lines around lines with a licence cue.  Each block is compressed alone and with each template as raw
+Candidate blocks are the words around licence cues, as many on both sides as a notice can have, so a notice may be wrapped anywhere.  Each block is compressed alone and with each template as raw
 zstandard dictionary; templates are ranked by the bytes they save, as a share of their own compressed size.  The best few are confirmed by their exact
 wording: the words of the template must stand in the block in order, apart from marked variable parts; missing template
 words are counted and listed.  A short template must be complete, a long one may miss ``MAX_MISSING`` of its words.  What a template confirms is taken out of the
 block, so a block with several notices yields each.
 
-Result: one row for each confirmed notice (doc, line, licence, words missing, size saved).
+Result: one row for each confirmed notice (doc, line where it begins, licence, words missing, size saved).
 
-Defined cases: null and empty texts have no blocks; repeated rows are reported each; a block of any length is one string; ties of the ranking go to the template that confirms with fewer missing words, then by licence
+Defined cases: null and empty texts have no blocks; repeated rows are reported each; a block of any length is one list; a template without a cue is found only near one; ties of the ranking go to the template that confirms with fewer missing words, then by licence
 id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -29,15 +30,17 @@ from .license_templates import TEMPLATES
 
 #: Small blocks against small dictionaries: the levels that find matches of three bytes.
 LEVEL = 19
-#: Lines between two cue lines that still belong to one block.
-GAP = 3
 #: Templates that are compared word by word, best savings first.
 BEST = 8
 NEAR = 60
 MAX_MISSING = 0.05
 SHORT = 25
 CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "spdx-", "all copyright")
+#: Words one of which is in every cue, and the cues, which may run over the end of a line.
+_HINTS = ("licen", "copyright", "reserved", "permission", "redistribut", "domain", "spdx-")
+_CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES))
 _WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_HYPHEN = re.compile(r"-[ \t\r]*\n[^\w\n]*")
 _VARIABLE = re.compile(r"<[^<>]*>")
 
 
@@ -51,6 +54,13 @@ class Notice:
     n_words: int
 
 
+@dataclass(frozen=True)
+class Block:
+    words: list[str]
+    lines: list[int]  # of each word
+    core: str  # what is compressed: from NEAR characters before the first cue to NEAR behind the last
+
+
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
@@ -63,6 +73,8 @@ class Scanner:
             for k, t in enumerate(many):
                 t = _VARIABLE.sub(" ", t)
                 self.templates.append((i, k, words(t), self._sizer(t), self.alone(t.lower().encode())))
+        self.hyphened = {w for t in self.templates for w in t[2] if "-" in w}
+        self.reach = max(self._longest(len(t[2])) for t in self.templates)
 
     @staticmethod
     def _sizer(text: str):
@@ -71,70 +83,103 @@ class Scanner:
         return lambda raw: len(c.compress(raw))
 
     @staticmethod
-    def blocks(text: str) -> list[tuple[int, str]]:
-        """(first line, text) of the runs of lines around cue lines."""
+    def _longest(n: int) -> int:
+        """The most words of a text over which the words of a template may be spread."""
+        return int(1.25 * n + 5)
+
+    def _words(self, low: str) -> tuple[list[str], list[int]]:
+        """Words of a lower-case text and where they begin; a template's word broken behind a hyphen at the end of a line is one."""
+        said, at, end = [], [], 0
+        for m in _WORDS.finditer(low):
+            w = m.group()
+            if said and low[end] == "-" and f"{said[-1]}-{w}" in self.hyphened and _HYPHEN.fullmatch(low, end, m.start()):
+                said[-1] += "-" + w
+            else:
+                said.append(w)
+                at.append(m.start())
+            end = m.end()
+        return said, at
+
+    def blocks(self, text: str) -> list[Block]:
+        """The words around cues, as far as a notice with that cue can reach; blocks that overlap are one."""
         low = text.lower()
-        if not any(c in low for c in CUES):
+        if not any(h in low for h in _HINTS):
             return []
-        lines = text.split("\n")
-        cued = [i for i, x in enumerate(lines) if any(c in x.lower() for c in CUES)]
-        out, begin = [], 0
-        for k in range(1, len(cued) + 1):
-            if k == len(cued) or cued[k] - cued[k - 1] > GAP:
-                out.append((cued[begin], "\n".join(lines[cued[begin] : cued[k - 1] + GAP])))
-                begin = k
+        cues = [(m.start(), m.end()) for m in _CUE.finditer(low)]
+        if not cues:
+            return []
+        said, at = self._words(low)
+        runs: list[list[int]] = []  # first and last word, first and last character of cues
+        for begin, end in cues:
+            first, last = max(0, bisect_right(at, begin) - 1 - self.reach), bisect_right(at, end - 1) + self.reach
+            if runs and first <= runs[-1][1]:
+                runs[-1][1], runs[-1][3] = last, end
+            else:
+                runs.append([first, last, begin, end])
+        out, line, seen = [], 0, 0
+        for first, last, begin, end in runs:
+            lines = []
+            for x in at[first:last]:
+                line, seen = line + low.count("\n", seen, x), x
+                lines.append(line)
+            out.append(Block(said[first:last], lines, low[max(0, begin - NEAR) : end + NEAR]))
         return out
 
-    @staticmethod
-    def core(block: str) -> str:
-        """What is compressed: the block from NEAR characters before its first cue to NEAR behind its last."""
-        low = block.lower()
-        first = min(low.find(c) for c in CUES if c in low)
-        last = max(low.rfind(c) + len(c) for c in CUES)
-        return low[max(0, first - NEAR) : last + NEAR]
-
     def notices(self, text: str) -> list[Notice]:
-        return [n for line, block in self.blocks(text) for n in self._confirm(line, block)]
+        return [n for block in self.blocks(text) for n in self._confirm(block)]
 
-    def _confirm(self, line: int, block: str) -> list[Notice]:
-        raw = self.core(block).encode("utf-8", "surrogatepass")
+    def _confirm(self, block: Block) -> list[Notice]:
+        raw = block.core.encode("utf-8", "surrogatepass")
         base = max(1, self.alone(raw))
         # a long template saves a little in any text: rank by the share of the template's own size that it saves
         sizes = [(size(raw), own, i, k, w) for i, k, w, size, own in self.templates]
         ranked = sorted(((base - c) / own, 1 - c / base, i, k, w) for c, own, i, k, w in sizes)[::-1]
-        left, out = words(block), []
-        found = []
-        for _, saved, i, k, w in ranked[:BEST]:
-            match = self._align(w, left)
-            if match:
-                found.append((match, saved, i, k, w))
-        # exact wording decides between templates: fewer words missing, then more words said
-        found.sort(key=lambda x: (len(x[0][2]) / len(x[4]), -len(x[4]), -x[1], x[2], x[3]))
-        for _, saved, i, k, w in found:
-            while match := self._align(w, left):
-                begin, end, missing = match
-                out.append(Notice(line, i, k, round(saved, 6), tuple(missing), len(w)))
-                left = [*left[:begin], "\n", *left[end:]]
+        left, lines, out = block.words, block.lines, []
+        found = [(m, saved, i, k, w) for _, saved, i, k, w in ranked[:BEST] for m in self._matches(w, left)]
+        # exact wording decides between templates: fewer words missing, then more words said; of one template the closest wording
+        found.sort(key=lambda x: (len(x[0][2]) / len(x[4]), -len(x[4]), -x[1], x[2], x[3], x[0][1] - x[0][0], x[0][0]))
+        taken = bytearray(len(left))
+        for (begin, end, missing), saved, i, k, w in found:
+            if not any(taken[begin:end]):
+                taken[begin:end] = b"\1" * (end - begin)
+                out.append(Notice(lines[begin], i, k, round(saved, 6), missing, len(w)))
         return out
 
-    @staticmethod
-    def _align(template: list[str], block: list[str]) -> tuple[int, int, list[str]] | None:
-        """Where the block says the template's words: begin, end and the template words it lacks."""
+    def _matches(self, template: list[str], block: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
+        """Everywhere the block says the template's words in order: begin, end and the template words it lacks."""
         n = len(template)
-        for at in range(len(block) - n + 1):
-            if block[at] == template[0] and block[at : at + n] == template:
-                return at, at + n, []
+        most = 0 if n < SHORT else int(MAX_MISSING * n)
+        have, need = Counter(block), Counter(template)
+        if sum(max(0, c - have[w]) for w, c in need.items()) > most:
+            return []
+        places: dict[str, list[int]] = {w: [] for w in need}
+        for at, w in enumerate(block):
+            if w in places:
+                places[w].append(at)
         if n < SHORT:
-            return None
-        m = SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()
-        said = [x for x in m if x.size]
-        if not said:
-            return None
-        missing = [w for k, w in enumerate(template) if not any(x.a <= k < x.a + x.size for x in said)]
-        begin, end = said[0].b, said[-1].b + said[-1].size
-        if len(missing) > MAX_MISSING * n or end - begin > 1.25 * n + 5:
-            return None
-        return begin, end, missing
+            return [(at, at + n, ()) for at in places[template[0]] if block[at : at + n] == template]
+        out = []
+        for skipped in range(most + 1):
+            for at in places[template[skipped]]:
+                stop = at + self._longest(n)
+                # by the number of missing words: the earliest place behind the words said so far, and what is missing
+                states = {skipped: (at + 1, tuple(template[:skipped]))}
+                for w in template[skipped + 1 :]:
+                    after: dict[int, tuple[int, tuple[str, ...]]] = {}
+                    for lacks, (place, missing) in states.items():
+                        j = bisect_left(places[w], place)
+                        if j < len(places[w]) and places[w][j] < stop:
+                            new = (places[w][j] + 1, missing)
+                            after[lacks] = min(after.get(lacks, new), new)
+                        if lacks < most:
+                            new = (place, (*missing, w))
+                            after[lacks + 1] = min(after.get(lacks + 1, new), new)
+                    states = after
+                    if not states:
+                        break
+                if states:
+                    out.append((at, *states[min(states)]))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -198,6 +199,20 @@ def test_license_scan(spark, corpus, empty):
     assert license_scan.scan(corpus).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("hyphens", [True, False])
+@pytest.mark.parametrize("prefix", ["", " * "])
+def test_license_notices_wrapped(prefix, hyphens):
+    scanner = license_scan.Scanner()
+    for i, k, w, _, _ in scanner.templates:
+        text = license_scan.TEMPLATES[i][k].replace("<year> <holder>", "2020 Somebody")
+        for lead in (0, 50):  # the notice begins anywhere in a line
+            for width in range(60, 81):
+                lines = textwrap.wrap("x" * lead + " " + text if lead else text, width, break_on_hyphens=hyphens)
+                got = scanner.notices("\n".join(prefix + x for x in ["some prose", *lines, "more prose"]))
+                assert [(n.license_id, n.missing) for n in got] == [(i, ())], (i, k, width, got)
+                assert "<" in license_scan.TEMPLATES[i][k] or (got[0].template, got[0].n_words) == (k, len(w))
+
+
 def test_license_lines_of_the_test_data(spark, sf):
     got = {(r.doc_id, r.license_id) for r in license_scan.op6_license_scan(spark, sf).collect()}
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary"}
