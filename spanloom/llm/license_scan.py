@@ -1,10 +1,10 @@
 r"""License scan by conditional compression.
 
 Candidate blocks are the words around licence cues, as many on both sides as a notice can have, so a notice may be wrapped anywhere.  Each block is compressed alone and with each template as raw
-zstandard dictionary; templates are ranked by the bytes they save, as a share of their own compressed size.  The best few are confirmed by their exact
-wording: the words of the template must stand in the block in order, apart from marked variable parts; missing template
+zstandard dictionary; templates are ranked by the bytes they save, as a share of their own compressed size.  All are confirmed by their exact
+wording, the rank decides between equals: the words of the template must stand in the block in order, apart from marked variable parts; missing template
 words are counted and listed.  A short template must be complete, a long one may miss ``MAX_MISSING`` of its words.  What a template confirms is taken out of the
-block, so a block with several notices yields each.
+block and the rest is compared again until nothing is confirmed, so a block with any number of notices yields each.
 
 Result: one row for each confirmed notice (doc, line where it begins, licence, words missing, size saved).
 
@@ -30,8 +30,6 @@ from .license_templates import TEMPLATES
 
 #: Small blocks against small dictionaries: the levels that find matches of three bytes.
 LEVEL = 19
-#: Templates that are compared word by word, best savings first.
-BEST = 8
 NEAR = 60
 MAX_MISSING = 0.05
 SHORT = 25
@@ -131,19 +129,24 @@ class Scanner:
     def _confirm(self, block: Block) -> list[Notice]:
         raw = block.core.encode("utf-8", "surrogatepass")
         base = max(1, self.alone(raw))
+        saved = [round(1 - size(raw) / base, 6) for _, _, _, size, _ in self.templates]
         # a long template saves a little in any text: rank by the share of the template's own size that it saves
-        sizes = [(size(raw), own, i, k, w) for i, k, w, size, own in self.templates]
-        ranked = sorted(((base - c) / own, 1 - c / base, i, k, w) for c, own, i, k, w in sizes)[::-1]
+        rank = [saved[x] * base / t[4] for x, t in enumerate(self.templates)]
         left, lines, out = block.words, block.lines, []
-        found = [(m, saved, i, k, w) for _, saved, i, k, w in ranked[:BEST] for m in self._matches(w, left)]
-        # exact wording decides between templates: fewer words missing, then more words said; of one template the closest wording
-        found.sort(key=lambda x: (len(x[0][2]) / len(x[4]), -len(x[4]), -x[1], x[2], x[3], x[0][1] - x[0][0], x[0][0]))
-        taken = bytearray(len(left))
-        for (begin, end, missing), saved, i, k, w in found:
-            if not any(taken[begin:end]):
-                taken[begin:end] = b"\1" * (end - begin)
-                out.append(Notice(lines[begin], i, k, round(saved, 6), missing, len(w)))
-        return out
+        while found := [(m, x) for x, t in enumerate(self.templates) for m in self._matches(t[2], left)]:
+            # exact wording decides between templates: fewer words missing, then more words said; of one template the closest wording
+            found.sort(key=lambda y: (len(y[0][2]) / len(self.templates[y[1]][2]), -len(self.templates[y[1]][2]), -rank[y[1]], y[1], y[0][1] - y[0][0], y[0][0]))
+            taken = [""] * len(left)
+            for (begin, end, missing), x in found:
+                if not any(taken[begin:end]):
+                    taken[begin:end] = ["in"] * (end - begin)
+                    taken[begin] = "begin"
+                    i, k, w, _, _ = self.templates[x]
+                    out.append(Notice(lines[begin], i, k, saved[x], missing, len(w)))
+            # what is left may say more: a notice around another one; a break stands for what was taken out
+            keep = [("\n" if t else w, line) for w, line, t in zip(left, lines, taken, strict=True) if t != "in"]
+            left, lines = [w for w, _ in keep], [line for _, line in keep]
+        return sorted(out, key=lambda n: n.line)
 
     def _matches(self, template: list[str], block: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
         """Everywhere the block says the template's words in order: begin, end and the template words it lacks."""

@@ -213,6 +213,17 @@ def test_license_notices_wrapped(prefix, hyphens):
                 assert "<" in license_scan.TEMPLATES[i][k] or (got[0].template, got[0].n_words) == (k, len(w))
 
 
+@pytest.mark.parametrize("between", ["\n", " "])
+def test_license_list_of_all_notices(between):
+    scanner = license_scan.Scanner()
+    every = [(i, k, t) for i, many in license_scan.TEMPLATES.items() for k, t in enumerate(many) if "<" not in t]
+    got = scanner.notices(between.join(t for _, _, t in every * 2))
+    assert collections.Counter((n.license_id, n.template) for n in got) == collections.Counter((i, k) for i, k, _ in every * 2)
+    grant = license_scan.TEMPLATES["MIT"][2].split()
+    around = " ".join([*grant[:40], license_scan.TEMPLATES["Apache-2.0"][1], *grant[40:]])
+    assert {(n.license_id, n.template) for n in scanner.notices(around)} == {("MIT", 2), ("Apache-2.0", 1)}
+
+
 def test_license_lines_of_the_test_data(spark, sf):
     got = {(r.doc_id, r.license_id) for r in license_scan.op6_license_scan(spark, sf).collect()}
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary"}
