@@ -133,9 +133,12 @@ def attribute_keys(spans: DataFrame, start: int, end: int, limit: int = 1000) ->
     return _limited(d, "key", limit)
 
 
+def _values(spans: DataFrame, key: str, start: int, end: int) -> DataFrame:
+    return spans.where(overlaps(start, end)).select(label(key).alias("value")).where(F.col("value").isNotNull()).distinct()
+
+
 def attribute_values(spans: DataFrame, key: str, start: int, end: int, limit: int = 1000) -> DataFrame:
-    d = spans.where(overlaps(start, end)).select(label(key).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return _limited(d, "value", limit)
+    return _limited(_values(spans, key, start, end), "value", limit)
 
 
 def tag_names(spans: DataFrame, start: int, end: int) -> DataFrame:
@@ -143,10 +146,10 @@ def tag_names(spans: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def tag_values(spans: DataFrame, name: str, start: int, end: int) -> DataFrame:
-    """Values of a tag named with or without ``resource.``, ``span.`` or a leading dot."""
+    """All values of a tag named with or without ``resource.``, ``span.`` or a leading dot."""
     for prefix in (".", "resource.", "span."):
         name = name.removeprefix(prefix)
-    return attribute_values(spans, name, start, end, 1_000_000).select("value")
+    return _values(spans, name, start, end).orderBy("value")
 
 
 def _limited(d: DataFrame, column: str, limit: int) -> DataFrame:

@@ -244,3 +244,10 @@ def test_streams(spark, tmp_path):
     w = windows.sessions(stream, "30 seconds")
     w.writeStream.format("memory").queryName("live_sessions").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("live_sessions").count() == 1
+
+
+def test_tag_values_are_not_limited(spark):
+    n = 1_000_500
+    d = spark.range(n).select(F.create_map(F.lit("request.id"), F.format_string("r%07d", "id")).alias("tags"), F.lit(T).alias("start_time"), F.lit(T + 1).alias("end_time"))
+    got = lookups.tag_values(d, "span.request.id", T, T + MIN)
+    assert got.columns == ["value"] and got.agg(F.count("*"), F.max("value")).first()[:] == (n, f"r{n - 1:07d}")
