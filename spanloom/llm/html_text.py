@@ -2,9 +2,9 @@
 
 The standard-library parser streams its events into *lines*, one for each block element's text, with
 the tags met in it.  The ratio of text to tags of each line is smoothed with a Gaussian over its neighbours and
-the lines are split by a threshold into two clusters.  Lines of the upper cluster vote, with
-their text, for the elements that hold them: the content region is the ``article`` or ``main`` elements with votes or
-else the deepest element with most of the votes.  The main text is every line of the region, short ones too,
+the lines are split by a threshold into two clusters, or are one if they hardly differ.  The content region is every
+``article`` and ``main`` element that holds text; if no line of the upper cluster is in one, also the lowest element that holds all lines of that
+cluster.  The main text is every line of the region, short ones too,
 except those inside elements that are never article text (navigation, forms, adverts, comments...).
 
 Defined cases: null or empty html, and pages without text, give the empty text; an unfinished tag at the end is markup and
@@ -42,6 +42,10 @@ BESIDE = re.compile(
 _TAIL = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 SIGMA = 1.0
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-2, 3)]
+#: Lines of one kind differ by less than this factor in text for each tag.
+ALIKE = 3.0
+#: Characters for each tag from which a line is plain text, whatever its neighbours are; lists of links have about half.
+PLAIN = 10.0
 #: A p that opens ends these; a list item, cell or definition ends its like.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -155,24 +159,33 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def text_from(ratios: list[float]) -> float:
+    """The least ratio of the upper cluster.  Ratios are compared by their factors, and all are one cluster if the means differ by less than ``ALIKE``."""
+    logs = [math.log(r) for r in ratios]
+    cut = threshold(logs)
+    low, high = [v for v in logs if v < cut], [v for v in logs if v >= cut]
+    if not low or not high or sum(high) / len(high) - sum(low) / len(low) < math.log(ALIKE):
+        return min(ratios)
+    return min(r for r, v in zip(ratios, logs, strict=True) if v >= cut)
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not lines:
         return ""
-    ratio = smoothed([len(text) / (1 + tags) for text, tags, _ in lines])
-    cut = threshold(ratio)
-    votes: dict[tuple, int] = {}
-    total = 0
-    for (text, _, path), r in zip(lines, ratio, strict=True):
-        if r >= cut:
-            total += len(text)
-            for depth, (tag, number, _) in enumerate(path):
-                key = (depth, number, tag)
-                votes[key] = votes.get(key, 0) + len(text)
-    roots = {number for (_, number, tag) in votes if tag in ROOTS}
-    if not roots:
-        deep = [k for k, v in votes.items() if v >= 0.6 * total and k[2] in BLOCK and k[2] not in PARTS]
-        roots = {max(deep)[1]} if deep else set()
+    own = [len(text) / (1 + tags) for text, tags, _ in lines]
+    ratio = smoothed(own)
+    cut, own_cut = text_from(ratio), min(PLAIN, text_from(own))
+    # a line of markup beside text is smoothed into the upper cluster and says nothing about the region
+    upper = [path for (_, _, path), r, o in zip(lines, ratio, own, strict=True) if r >= cut and o >= own_cut]
+    upper = upper or [path for (_, _, path), r in zip(lines, ratio, strict=True) if r >= cut]
+    roots = {number for _, _, path in lines for tag, number, _ in path if tag in ROOTS}
+    if not any(number in roots for path in upper for _, number, _ in path):
+        shared = upper[0]
+        for path in upper:
+            shared = tuple(x for x, y in zip(shared, path) if x[1] == y[1])
+        whole = [number for tag, number, _ in shared if tag in BLOCK and tag not in PARTS]
+        roots = roots | {whole[-1]} if whole else set()
     kept = [text for text, _, path in lines if not roots or any(number in roots for _, number, _ in path)]
     return "\n\n".join(kept)
 

@@ -391,6 +391,22 @@ def test_main_text(tag):
     assert html_text.main_text(PAGE.replace("{open}", f"<{tag}>").replace("{close}", f"</{tag}>")) == MAIN
 
 
+def test_html_region_holds_all_text():
+    def prose(n):
+        return " ".join(["some plain words of a long text"] * n)
+
+    links = "".join(f"<span><a href=/{i}><b>go {i}</b></a></span>" for i in range(4))
+    for long, shorter in ((6, 4), (7, 3), (9, 1), (40, 5)):
+        content = f"<div id=content><div class=part>{prose(long)}</div><div class=part>{prose(shorter)}</div></div>"
+        for top in ("", f"<div>{links}</div><div>{links}</div><div>{links}</div>"):
+            got = html_text.main_text(f"<body>{top}{content}</body>")
+            assert got == f"{prose(long)}\n\n{prose(shorter)}", (long, shorter, bool(top))
+    items = "".join(f"<li><b><i>{i}</i></b></li>" for i in range(9))
+    nine = "\n\n".join("012345678")
+    assert html_text.main_text(f"<article><p>{prose(9)}</p></article><article><ul>{items}</ul></article>") == prose(9) + "\n\n" + nine
+    assert html_text.main_text(f"<main><ul>{items}</ul></main><div><p>{prose(9)}</p></div>") == nine + "\n\n" + prose(9)
+
+
 def test_html_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain", "<p>cut off &lt;tag", "<p>end <foo bar=", "<![bad <p>x</p>")][:6] == ["", "", "", "plain", "cut off <tag", "end"]
     html_text.main_text("<![bad <p>x</p>")
