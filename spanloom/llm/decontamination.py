@@ -6,15 +6,15 @@ each mask; equal hashes are hits.  A hit fixes an alignment (document place minu
 aligned tokens are compared one by one, and a document is contaminated if some stretch of ``STRETCH``
 aligned tokens (the whole item, if shorter) agrees in at least ``AGREE`` of its places.
 
-Tokens are words, lower case, without leading and trailing punctuation.  Both masks find any stretch of six
-tokens with one unknown token inside; together they find stretches in which every fourth or every third token is
-replaced.
+Tokens are words, lower case, without leading and trailing punctuation.  The masks hit whatever the comparison accepts: ``MASKS`` every
+pattern of up to four substitutions in a stretch of 16 tokens, ``SHORT_MASKS`` every accepted pattern of an item of 7 to 15.  Items of fewer
+tokens are found where a document holds them whole.  Documents are hashed under the masks that some item needs.
 
 The documents' hashes never leave their task if the items' hashes are few enough to be broadcast (counted first); otherwise
 both sides are shuffled by hash.
 
-Defined cases: null or empty texts and items match nothing; items with fewer tokens than a mask is long are compared
-nowhere; repeated rows of a document count once; repeated items give a row each id; extra columns are ignored; a long text is one array.
+Defined cases: null or empty texts and items match nothing; items without tokens match
+nothing; repeated rows of a document count once; repeated items give a row each id; extra columns are ignored; a long text is one array.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7))
+MASKS = ((0, 1, 2, 4), (0, 1, 2, 3))
 STRETCH = 16
+SHORT_MASKS = ((0, 1, 3), (0, 1, 2))
+#: Items of fewer tokens must stand whole in a document.
+SHORT = 7
 AGREE = 0.7
 #: Rows of item hashes, or of hit documents, up to which they are broadcast: at most 64 MB and 32 MB.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -36,21 +39,30 @@ def _tokens(text: str) -> Column:
     return F.expr(rf"transform(filter(split(lower(`{text}`), '[\\x20\\x09-\\x0D]+'), x -> x != ''), x -> xxhash64(trim(BOTH '.,;:!?()[]\"' FROM x)))")
 
 
-def _seeds(array: str, masks=MASKS) -> Column:
+def _ranges(masks) -> list[tuple[tuple[int, ...], int, int]]:
+    """(mask, least and most tokens of the items under it); items count as ``STRETCH`` tokens at most."""
+    whole = [(tuple(range(n)), n, n) for n in range(1, SHORT)]
+    return [*((m, STRETCH, STRETCH) for m in masks), *((m, SHORT, STRETCH - 1) for m in SHORT_MASKS), *whole]
+
+
+def _seeds(array: str, ranges, of_items: bool) -> Column:
     """(mask, place, seed) of each place of a token array under each mask that fits."""
     parts = []
-    for k, mask in enumerate(masks):
+    for mask, low, high in ranges:
         picked = ", ".join(f"{array}[i + {o}]" if o else f"{array}[i]" for o in mask)
-        parts.append(f"if(size({array}) <= {mask[-1]}, cast(array() as array<struct<place: int, seed: bigint>>), transform(sequence(0, greatest(size({array}) - {mask[-1] + 1}, 0)), i -> struct(i as place, xxhash64({k}, {picked}) as seed)))")
+        fits = f"size({array}) > {mask[-1]}" + (f" and least(size({array}), {STRETCH}) between {low} and {high}" if of_items else "")
+        parts.append(f"if({fits}, transform(sequence(0, greatest(size({array}) - {mask[-1] + 1}, 0)), i -> struct(i as place, xxhash64('{low} {mask}', {picked}) as seed)), cast(array() as array<struct<place: int, seed: bigint>>))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks=MASKS) -> DataFrame:
     """doc_key, item_key, shift: alignments of documents and items with an equal seed."""
-    b = items.select(F.col(item_col).alias("item_key"), F.col(item_text_col).cast("string").alias("t")).distinct().withColumn("b", _tokens("t"))
-    b = b.select("item_key", F.explode(_seeds("b", masks)).alias("s")).select("item_key", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
-    d = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t")).withColumn("a", _tokens("t"))
-    d = d.select("doc_key", F.explode(_seeds("a", masks)).alias("s")).select("doc_key", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
+    b = items.select(F.col(item_col).alias("item_key"), F.col(item_text_col).cast("string").alias("t")).distinct().where("t is not null").withColumn("b", _tokens("t"))
+    sizes = [n for (n,) in b.select(F.least(F.size("b"), F.lit(STRETCH))).distinct().collect()]  # 17 at most
+    ranges = [(m, low, high) for m, low, high in _ranges(masks) if low == STRETCH or any(low <= n <= high for n in sizes)]
+    b = b.select("item_key", F.explode(_seeds("b", ranges, True)).alias("s")).select("item_key", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
+    d = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t")).where("t is not null").withColumn("a", _tokens("t"))
+    d = d.select("doc_key", F.explode(_seeds("a", ranges, False)).alias("s")).select("doc_key", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
     few = b.count() <= MAX_BROADCAST_ROWS
     got = d.join(F.broadcast(b) if few else b, "seed").select("doc_key", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
     return got.distinct()

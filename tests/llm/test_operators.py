@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import textwrap
@@ -72,6 +73,22 @@ def test_decontamination(spark, corpus, empty):
         decontamination.MAX_BROADCAST_ROWS = old
 
 
+def test_decontamination_finds_all_it_accepts(spark):
+    rows, want = [], set()
+    for n in (*range(1, 17), 19):
+        w = [f"w{n}x{k}" for k in range(n)]
+        k = min(n, 16)
+        accepted = [c for d in range(k) if k - d >= 0.7 * k and (n >= 7 or d == 0) for c in itertools.combinations(range(k), d)]
+        refused = [] if n == 19 else [c for c in itertools.combinations(range(n), 5) if n - 5 < 0.7 * n][:50]
+        for c in accepted + refused:
+            rows.append((len(rows), n, " ".join(["before", *("other" if x in c else y for x, y in enumerate(w[:k])), "behind"])))
+            if c in accepted:
+                want.add((len(rows) - 1, n, k - len(c), k))
+    docs = spark.createDataFrame(rows, "doc_id long, n long, text string")
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (*range(1, 17), 19)], "item_id long, text string")
+    assert {(r.doc_key, r.item_key, r.n_equal, r.n_tokens) for r in decontamination.overlaps(docs, items).collect()} == want
+
+
 # ---------------------------------------------------------------- 3 substring dedup
 
 
