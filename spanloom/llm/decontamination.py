@@ -11,10 +11,12 @@ pattern of up to four substitutions in a stretch of 16 tokens, ``SHORT_MASKS`` e
 tokens are found where a document holds them whole.  Documents are hashed under the masks that some item needs.
 
 The documents' hashes never leave their task if the items' hashes are few enough to be broadcast (counted first); otherwise
-both sides are shuffled by hash.
+both sides are shuffled by hash.  Aligned tokens are cut out of a document before items are joined to them, so a phrase that a document
+repeats costs its own length each time, not the document's.
 
 Defined cases: null or empty texts and items match nothing; items without tokens match
-nothing; repeated rows of a document count once; repeated items give a row each id; extra columns are ignored; a long text is one array.
+nothing; repeated rows of a document count once; repeated items give a row each id; a null id is an id like any other; of equally good stretches the
+smallest shift is reported; extra columns, whatever their names, are ignored; a long text is one array; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ((0, 1, 2, 4), (0, 1, 2, 3))
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 7, 9), (0, 3, 4, 5, 6))
 STRETCH = 16
 SHORT_MASKS = ((0, 1, 3), (0, 1, 2))
 #: Items of fewer tokens must stand whole in a document.
@@ -36,7 +38,8 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 def _tokens(text: str) -> Column:
     """Hashes of the tokens of a text column."""
-    return F.expr(rf"transform(filter(split(lower(`{text}`), '[\\x20\\x09-\\x0D]+'), x -> x != ''), x -> xxhash64(trim(BOTH '.,;:!?()[]\"' FROM x)))")
+    cut = rf"split(lower(`{text}`), '[\\x20\\x09-\\x0D]+')"
+    return F.expr(rf"transform(filter({cut}, x -> x != ''), x -> xxhash64(trim(BOTH '.,;:!?()[]\"' FROM x)))")
 
 
 def _ranges(masks) -> list[tuple[tuple[int, ...], int, int]]:
@@ -45,47 +48,66 @@ def _ranges(masks) -> list[tuple[tuple[int, ...], int, int]]:
     return [*((m, STRETCH, STRETCH) for m in masks), *((m, SHORT, STRETCH - 1) for m in SHORT_MASKS), *whole]
 
 
-def _seeds(array: str, ranges, of_items: bool) -> Column:
-    """(mask, place, seed) of each place of a token array under each mask that fits."""
-    parts = []
+def _seeded(d: DataFrame, tokens: str, ranges, of_items: bool) -> DataFrame:
+    """Columns ``pos``, ``seed`` and ``n`` in place of a token array: hashes of all places under the first mask, then under the second..."""
+    n, arrays = f"size({tokens})", []
+    for k, (mask, low, high) in enumerate(ranges):
+        picked = ", ".join(f"{tokens}[i + {o}]" if o else f"{tokens}[i]" for o in mask)
+        fits = f"{n} > {mask[-1]}" + (f" and least({n}, {STRETCH}) between {low} and {high}" if of_items else "")
+        arrays.append(f"if({fits}, transform(sequence(0, greatest({n} - {mask[-1] + 1}, 0)), i -> xxhash64({k}, {picked})), cast(array() as array<bigint>))")
+    own = [c for c in d.columns if c != tokens]
+    d = d.select(*own, F.expr(n).alias("n"), F.posexplode_outer(F.expr(f"concat({', '.join(arrays)})")).alias("pos", "seed"))  # not posexplode: Spark would compute the array twice
+    return d.where("seed is not null")
+
+
+def _place(ranges, of_items: bool) -> Column:
+    """The place of a ``pos`` among the hashes of ``n`` tokens."""
+    upto, cases = "0", []
     for mask, low, high in ranges:
-        picked = ", ".join(f"{array}[i + {o}]" if o else f"{array}[i]" for o in mask)
-        fits = f"size({array}) > {mask[-1]}" + (f" and least(size({array}), {STRETCH}) between {low} and {high}" if of_items else "")
-        parts.append(f"if({fits}, transform(sequence(0, greatest(size({array}) - {mask[-1] + 1}, 0)), i -> struct(i as place, xxhash64('{low} {mask}', {picked}) as seed)), cast(array() as array<struct<place: int, seed: bigint>>))")
-    return F.expr(f"concat({', '.join(parts)})")
+        many = f"greatest(n - {mask[-1]}, 0)"
+        if of_items:
+            many = f"if(least(n, {STRETCH}) between {low} and {high}, {many}, 0)"
+        cases.append(f"when pos < {upto} + {many} then pos - ({upto})")
+        upto = f"{upto} + {many}"
+    return F.expr(f"case {' '.join(cases)} end")
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks=MASKS) -> DataFrame:
-    """doc_key, item_key, shift: alignments of documents and items with an equal seed."""
-    b = items.select(F.col(item_col).alias("item_key"), F.col(item_text_col).cast("string").alias("t")).distinct().where("t is not null").withColumn("b", _tokens("t"))
-    sizes = [n for (n,) in b.select(F.least(F.size("b"), F.lit(STRETCH))).distinct().collect()]  # 17 at most
-    ranges = [(m, low, high) for m, low, high in _ranges(masks) if low == STRETCH or any(low <= n <= high for n in sizes)]
-    b = b.select("item_key", F.explode(_seeds("b", ranges, True)).alias("s")).select("item_key", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
-    d = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t")).where("t is not null").withColumn("a", _tokens("t"))
-    d = d.select("doc_key", F.explode(_seeds("a", ranges, False)).alias("s")).select("doc_key", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
-    few = b.count() <= MAX_BROADCAST_ROWS
-    got = d.join(F.broadcast(b) if few else b, "seed").select("doc_key", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
-    return got.distinct()
+def _sides(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_key, a) and (item_key, b): token hashes of documents and items."""
+    d = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t")).where("t is not null").select("doc_key", _tokens("t").alias("a"))
+    b = items.select(F.col(item_col).alias("item_key"), F.col(item_text_col).cast("string").alias("t")).distinct().where("t is not null").select("item_key", _tokens("t").alias("b"))
+    return d, b
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, agree: float = AGREE, masks=MASKS) -> DataFrame:
-    """doc_key, item_key, shift, n_tokens (of the stretch), n_equal: the best verified stretch of each pair."""
-    found, _ = common.saved(hits(docs, items, id_col, text_col, item_col, item_text_col, masks), "seed-hits")
-    hit_docs = found.select(F.col("doc_key").alias("k")).distinct()
-    few = found.count() <= MAX_BROADCAST_ROWS
-    d = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t"))
-    d = d.join(F.broadcast(hit_docs) if few else hit_docs, F.col("doc_key").eqNullSafe(F.col("k")), "left_semi")
-    d = d.select("doc_key", _tokens("t").alias("a"))
-    b = items.select(F.col(item_col).alias("i_key"), F.col(item_text_col).cast("string").alias("t")).distinct().select("i_key", _tokens("t").alias("b"))
-    pairs = found.join(b, F.col("item_key").eqNullSafe(F.col("i_key"))).withColumnRenamed("doc_key", "h_key")
-    x = d.join(pairs, F.col("doc_key").eqNullSafe(F.col("h_key")))
-    # aligned places: 1 where the tokens agree; places outside the document count as different
-    x = x.withColumn("m", F.expr("transform(sequence(0, size(b) - 1), j -> if(j + shift between 0 and size(a) - 1, if(get(a, j + shift) = b[j], 1, 0), 0))"))
-    x = x.withColumn("n", F.least(F.size("m"), F.lit(stretch)))
+def _verified(x: DataFrame, stretch: int, agree: float) -> DataFrame:
+    """doc_key, item_key, shift, n_tokens, n_equal: the best of the alignments (doc_key, item_key, shift, w, b) of each pair, if a stretch of it agrees;
+    ``w`` are the document's tokens that stand against ``b``, null where the document has none."""
+    x = x.withColumn("m", F.expr("zip_with(w, b, (p, q) -> if(p <=> q, 1, 0))")).withColumn("n", F.least(F.size("m"), F.lit(stretch)))
     x = x.withColumn("e", F.expr("array_max(transform(sequence(1, size(m) - n + 1), i -> aggregate(slice(m, i, n), 0, (s, v) -> s + v)))"))
-    x = x.where(F.col("e") >= F.lit(agree) * F.col("n"))
     best = x.groupBy("doc_key", "item_key").agg(F.max(F.struct(F.col("e").alias("n_equal"), (-F.col("shift")).alias("back"), F.col("n").alias("n_tokens"))).alias("z"))
-    return best.select("doc_key", "item_key", (-F.col("z.back")).alias("shift"), F.col("z.n_tokens"), F.col("z.n_equal"))
+    return best.select("doc_key", "item_key", (-F.col("z.back")).alias("shift"), F.col("z.n_tokens"), F.col("z.n_equal")).where(F.col("n_equal") >= F.lit(agree) * F.col("n_tokens"))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, agree: float = AGREE, masks=MASKS) -> DataFrame:
+    """doc_key, item_key, shift, n_tokens (of the stretch), n_equal: the best verified stretch of each pair."""
+    d, b = _sides(docs, items, id_col, text_col, item_col, item_text_col)
+    b, _ = common.saved(b.where("size(b) > 0"), "items")
+    sizes = [n for (n,) in b.select(F.least(F.size("b"), F.lit(STRETCH))).distinct().collect()]  # 16 at most
+    ranges = [(m, low, high) for m, low, high in _ranges(masks) if not sizes or any(low <= n <= high for n in sizes)]
+    seeds = _seeded(b, "b", ranges, True).select("seed", "item_key", _place(ranges, True).alias("item_place"), F.col("n").alias("size"))
+    seeds, _ = common.saved(seeds, "item-seeds")
+    hit = _seeded(d, "a", ranges, False).join(F.broadcast(seeds) if seeds.count() <= MAX_BROADCAST_ROWS else seeds, "seed")
+    hit = hit.select(F.col("doc_key").alias("h_key"), "item_key", (_place(ranges, False) - F.col("item_place")).alias("shift"), "size").distinct()
+    hit, _ = common.saved(hit, "seed-hits")
+    few = hit.count() <= MAX_BROADCAST_ROWS
+    # hit documents first, then their tokens
+    keys = hit.select(F.col("h_key").alias("k")).distinct()
+    own = docs.join(F.broadcast(keys) if few else keys, docs[id_col].eqNullSafe(F.col("k")), "left_semi")
+    own, _ = _sides(own, items, id_col, text_col, item_col, item_text_col)
+    x = own.join(F.broadcast(hit) if few else hit, F.col("doc_key").eqNullSafe(F.col("h_key")))
+    x = x.select("doc_key", F.col("item_key").alias("i_key"), "shift", F.expr("transform(sequence(0, size - 1), j -> get(a, j + shift))").alias("w"))
+    x = x.join(b, F.col("i_key").eqNullSafe(F.col("item_key")))
+    return _verified(x, stretch, agree)
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
@@ -98,19 +120,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("doc_key").alias("doc_id"), F.col("item_key").alias("item_id"), "shift", "n_tokens", "n_equal")
 
 
+#: Without seeds: an accepted stretch of 16 tokens has three equal tokens in a row, one of 7 to 15 has two, a shorter item is whole;
+#: every alignment with as many in a row is compared.
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '.,;:!?()[]"')) AS a FROM documents),
-b AS (SELECT item_id, list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '.,;:!?()[]"')) AS b FROM benchmark),
+WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '.,;:!?()[]"')) AS a FROM documents),
+b AS (SELECT item_id, b, CASE WHEN len(b) >= 16 THEN 3 WHEN len(b) >= 7 THEN 2 ELSE 1 END AS k
+  FROM (SELECT DISTINCT item_id, list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '.,;:!?()[]"')) AS b FROM benchmark)),
 dp AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM d),
-bp AS (SELECT item_id, b, unnest(range(1, len(b) + 1)) AS j FROM b),
-ds AS (SELECT doc_id, i, 0 AS m, [a[i], a[i + 1], a[i + 2], a[i + 4], a[i + 5], a[i + 6]] AS s FROM dp WHERE i + 6 <= len(a)
-  UNION ALL SELECT doc_id, i, 1, [a[i], a[i + 1], a[i + 3], a[i + 4], a[i + 6], a[i + 7]] FROM dp WHERE i + 7 <= len(a)),
-bs AS (SELECT item_id, j, 0 AS m, [b[j], b[j + 1], b[j + 2], b[j + 4], b[j + 5], b[j + 6]] AS s FROM bp WHERE j + 6 <= len(b)
-  UNION ALL SELECT item_id, j, 1, [b[j], b[j + 1], b[j + 3], b[j + 4], b[j + 6], b[j + 7]] FROM bp WHERE j + 7 <= len(b)),
-h AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (m, s)),
-x AS (SELECT doc_id, item_id, shift, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN j + shift BETWEEN 1 AND len(a) AND a[j + shift] = b[j] THEN 1 ELSE 0 END) AS m
-  FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-y AS (SELECT doc_id, item_id, shift, least(len(m), 16) AS n, list_max(list_transform(range(1, CAST(len(m) - least(len(m), 16) + 2 AS BIGINT)), lambda i: list_sum(m[i : i + least(len(m), 16) - 1]))) AS e FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, shift) AS r FROM y WHERE e >= 0.7 * n)
+ds AS (SELECT doc_id, a, i, k, a[i : i + k - 1] AS s FROM dp, (SELECT DISTINCT k FROM b) WHERE i + k - 1 <= len(a)),
+bs AS (SELECT item_id, b, k, j, b[j : j + k - 1] AS s FROM (SELECT item_id, b, k, unnest(range(1, len(b) + 1)) AS j FROM b) WHERE j + k - 1 <= len(b)),
+h AS (SELECT DISTINCT doc_id, a, item_id, b, i - j AS shift FROM ds JOIN bs USING (k, s)),
+x AS (SELECT doc_id, item_id, shift, len(b) AS l, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN j + shift BETWEEN 1 AND len(a) AND a[j + shift] = b[j] THEN 1 ELSE 0 END) AS m FROM h),
+y AS (SELECT doc_id, item_id, shift, l, least(l, 16) AS n, list_max(list_transform(range(1, CAST(l - least(l, 16) + 2 AS BIGINT)), lambda i: list_sum(m[i : i + least(l, 16) - 1]))) AS e FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, shift) AS r FROM y WHERE e >= CASE WHEN l < 7 THEN n ELSE 0.7 * n END)
 SELECT doc_id, item_id, CAST(shift AS INT) AS shift, CAST(n AS INT) AS n_tokens, CAST(e AS INT) AS n_equal FROM z WHERE r = 1
 """
