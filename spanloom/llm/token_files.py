@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,23 @@ from . import common
 MAGIC = b"SLH1"
 BLOCK = 128
 MAX_BITS = 20
+_SIZE_BITS = 5
 SHARD_IDS = 1 << 19
 COUNTS = -1
 #: Common characters: printable ASCII and letters and signs of Latin-1, with line feeds.
 _PLAIN = re.compile(r"[\n -~¡-©«-±´-¸»¿-ÿ]*")
 #: A comma or full stop that is behind neither letter nor digit: it may belong to a longer run of signs.
 _ODD = re.compile(r"[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
+#: A space and a line feed as byte-level tokenizers write them.
+_SPACE_BYTE, _FEED_BYTE = "\u0120", "\u010a"
+#: Marks of chunks: line feed, behind nothing, first of a text.  None of the last two is a common character.
+_MARKS = "\n\x01\x02"
+_FIRST = _MARKS[2]
 _CACHE = 400_000
-_TEXTS = 64
+#: Ids that are packed together, a multiple of BLOCK.
+_PIECE = 1 << 14
+#: Bytes of texts that are encoded together.
+_BYTES = 1 << 21
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -74,46 +84,89 @@ class Encoder:
         # what is known, in two generations of at most _CACHE chunks; chunks in use move to the young one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.feed = len(self._whole("\n")) // np.dtype(self.kind).itemsize
+        # ids whose token begins with a space, and those that are a line feed
+        self.spaced, self.fed = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
+        self.spaced[[i for t, i in vocab.items() if t[:1] == _SPACE_BYTE]] = True
+        self.fed[[i for t, i in vocab.items() if t == _FEED_BYTE]] = True
+        self.cuts = self.cuts and len(self._whole("\n")) == np.dtype(self.kind).itemsize
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """The text cut before spaces (left out), line feeds, and commas and full stops (marked); the first chunk is read as
-        one behind a line feed."""
+    def _cut(self, text: str) -> str | None:
+        """The text with a space before each chunk that is not behind one; chunks are marked as the first of a text, behind nothing (commas and
+        full stops), or with their own line feed.  None for a text that the library must cut itself."""
         if not self.cuts or not text or text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not _PLAIN.fullmatch(text) or _ODD.search(text):
             return None
         for s in self.special:
             if s in text:
                 return None
-        return ("\n" + text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \n")).split(" ")
+        return _FIRST + text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \n")
 
     def _learn(self, missing: set[str]) -> None:
-        """Take chunks over from the older generation, or encode them."""
+        """Take chunks over from the older generation, or encode them: chunks behind a space as one text, in which each begins at an id whose token
+        begins with a space, marked ones as one text of lines, in which each begins behind a line feed."""
         young, old = self.young, self.old
         if old:
             again = old.keys() & missing
             for c in again:
                 young[c] = old[c]
             missing = missing - again
-        if missing:
-            new = list(missing)
-            whole = [c if c[:1] == "\n" else c[1:] if c[:1] == "\x01" else " " + c for c in new]
-            code = self.code
-            for c, e in zip(new, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                young[c] = array(code, e.ids).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        """One text at a time: its chunks stay in the processor's cache from cutting to joining."""
-        chunks = self._chunks(text)
-        if chunks is None:
-            return np.frombuffer(self._whole(text), self.kind)
+        lines, words, bare = [], [], []
+        for c in missing:
+            (bare if not c or c in _MARKS else lines if c[0] in _MARKS else words).append(c)
+        if words and not self._taught(words, " " + " ".join(words), self.spaced, 0):
+            self._one_by_one(words, [" " + c for c in words])
+        for drop, own in ((0, [c for c in lines if c[0] == "\n"]), (1, [c for c in lines if c[0] != "\n"])):
+            if own and not self._taught(own, "\n" + "\n".join([c[1:] for c in own]), self.fed, drop):
+                self._one_by_one(own, [c[drop:] for c in own])
+        self._one_by_one(bare, [c.strip(_MARKS[1:]) if c else " " for c in bare])
+
+    def _taught(self, chunks: list[str], text: str, begins: np.ndarray, drop: int) -> bool:
+        """Encode chunks as one text; false if it does not fall apart into as many."""
+        ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        at = np.flatnonzero(begins[ids])
+        if len(at) != len(chunks) or at[0] != 0:
+            return False
+        raw, size = ids.tobytes(), ids.itemsize
+        young, ends = self.young, [*(at[1:] * size).tolist(), len(raw)]
+        for c, x, y in zip(chunks, (at * size).tolist(), ends, strict=True):
+            young[c] = raw[x + drop * size : y]
+        return True
+
+    def _one_by_one(self, chunks: list[str], texts: list[str]) -> None:
+        for c, e in zip(chunks, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.young[c] = array(self.code, e.ids).tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text.  Chunks of all texts are cut and told apart by Arrow, so only different ones are looked up."""
+        cut = [self._cut(t) for t in texts]
         if len(self.young) > _CACHE:
             self.young, self.old = {}, self.young
-        if missing := set(chunks).difference(self.young):
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), self.kind)[self.feed :]
+        parts = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, chunks))
+        if None in found:
+            self._learn({c for c, x in zip(chunks, found, strict=True) if x is None})
+            known = self.young
+            found = [known[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+        each = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        # ids of the chunks in order of the texts: from where a chunk's ids stand to where they go
+        every = each[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[which] - ends + n, n)]
+        at = np.r_[0, ends][parts.offsets.to_numpy()].tolist()
+        out, k = [], 0
+        for t, c in zip(texts, cut, strict=True):
+            if c is None:
+                out.append(np.frombuffer(self._whole(t), self.kind))
+            else:
+                out.append(every[at[k] : at[k + 1]])
+                k += 1
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -126,15 +179,24 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many at a time that their texts have about _BYTES."""
+    size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().cumsum()
+    k = 0
+    while k < b.num_rows:
+        stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + _BYTES, "right")))
+        yield b.slice(k, stop - k)
+        k = stop
+
+
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, at = _encoder(path), TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(max(enc.n_ids, end_id + 1), np.int64)
         end = np.asarray([end_id], enc.kind)
         for b in batches:
-            for k in range(0, b.num_rows, _TEXTS):
-                some = b.slice(k, _TEXTS)
-                ids = [np.concatenate([enc.ids(t or ""), end]) for t in some.column(1).to_pylist()]
+            for some in _slices(b):
+                ids = [np.concatenate([x, end]) for x in enc.ids([t or "" for t in some.column(1).to_pylist()])]
                 sizes = np.asarray([len(x) for x in ids])
                 counts += np.bincount(np.concatenate(ids), minlength=len(counts))
                 yield _id_rows(some.column(0), part, seq, at + np.cumsum(sizes) - sizes, sizes, [x.tobytes() for x in ids])
@@ -211,25 +273,28 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Code bits of ``ids`` in 64-bit words, and the bit offset of every :data:`BLOCK`-th id."""
-    sizes = lengths.astype(np.int64)
-    high = codes << (64 - np.maximum(sizes, 1)).astype(np.uint64)  # codes at the upper end of a word
-    n, c = sizes[ids], high[ids]
-    ends = np.cumsum(n)
-    starts = ends - n
-    words = np.zeros((int(ends[-1]) if len(ids) else 0) // 64 + 3, np.uint64)
-    w, off = starts >> 6, starts & 63
-    head = c >> off.astype(np.uint64)
-    if len(ids):
-        at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        words[w[at]] |= np.bitwise_or.reduceat(head, at)
+    high = codes << (64 - np.maximum(lengths, 1).astype(np.int64)).astype(np.uint64)  # codes at the upper end of a word
+    n_bits = int(lengths[ids].sum(dtype=np.int64))
+    words, marks, at = np.zeros(n_bits // 64 + 3, np.uint64), [np.zeros(0, np.int64)], 0
+    for k in range(0, len(ids), _PIECE):  # a piece stays in the processor's cache
+        own = ids[k : k + _PIECE]
+        n, c = lengths[own], high[own]
+        ends = np.cumsum(n, dtype=np.int64) + at
+        starts = ends - n
+        w, off = starts >> 6, starts & 63
+        head = c >> off.view(np.uint64)
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        words[w[first]] |= np.bitwise_or.reduceat(head, first)
         tail = np.flatnonzero(off + n > 64)
         words[w[tail] + 1] |= c[tail] << (64 - off[tail]).astype(np.uint64)
-    return words.astype(">u8").tobytes(), starts[::BLOCK].astype("<u8")
+        marks.append(starts[::BLOCK])
+        at = int(ends[-1])
+    return words.astype(">u8").tobytes(), np.concatenate(marks).astype("<u8")
 
 
-def unpack(bits: bytes, marks: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def unpack(bits: bytes, marks: np.ndarray, n_ids: int, table: tuple[np.ndarray, int]) -> np.ndarray:
     """Ids of all blocks, decoded in lock step from their bit offsets."""
-    symbols, sizes, width = table
+    symbols, width = table
     words = np.frombuffer(bits, ">u8").astype(np.uint64)
     at, out = marks.astype(np.int64), np.zeros((BLOCK, len(marks)), np.uint32)
     left = np.full(len(marks), BLOCK)
@@ -239,23 +304,22 @@ def unpack(bits: bytes, marks: np.ndarray, n_ids: int, table: tuple[np.ndarray,
     for i in range(min(BLOCK, n_ids)):
         if i == left[-1]:
             at = at[:-1]
-        k, off = at >> 6, (at & 63).astype(np.uint64)
+        k, off = at >> 6, (at & 63).view(np.uint64)
         window = (words[k] << off) | ((words[k + 1] >> np.uint64(1)) >> (np.uint64(63) - off))
-        code = (window >> shift).astype(np.int64)
-        out[i, : len(at)] = symbols[code]
-        at = at + sizes[code]
+        code = symbols[(window >> shift).view(np.int64)]
+        out[i, : len(at)] = code >> np.uint32(_SIZE_BITS)
+        at = at + (code & np.uint32((1 << _SIZE_BITS) - 1))
     return out.T.reshape(-1)[:n_ids] if len(marks) else np.zeros(0, np.uint32)
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbol and code size for every window of as many bits as the longest code has."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbol and, in the lowest bits, code size for every window of as many bits as the longest code has."""
     width = int(lengths.max()) if len(lengths) and lengths.max() else 1
     order = np.flatnonzero(lengths)
     order = order[np.argsort(lengths[order], kind="stable")]
     spans = np.left_shift(1, width - lengths[order].astype(np.int64))
-    symbols, sizes = np.repeat(order.astype(np.uint32), spans), np.repeat(lengths[order].astype(np.int64), spans)
-    short = (1 << width) - len(symbols)  # a code of one symbol leaves windows unused
-    return np.pad(symbols, (0, short)), np.pad(sizes, (0, short), constant_values=1), width
+    both = np.repeat((order.astype(np.uint32) << np.uint32(_SIZE_BITS)) | lengths[order].astype(np.uint32), spans)
+    return np.pad(both, (0, (1 << width) - len(both)), constant_values=1), width  # a code of one symbol leaves windows unused
 
 
 # ---------------------------------------------------------------- shards
