@@ -7,7 +7,7 @@ aligned tokens are compared one by one, and a document is contaminated if some s
 aligned tokens (the whole item, if shorter) agrees in at least ``AGREE`` of its places.
 
 Tokens are words, lower case, without leading and trailing punctuation.  The masks hit whatever the comparison accepts: ``MASKS`` every
-pattern of up to four substitutions in a stretch of 16 tokens, ``SHORT_MASKS`` every accepted pattern of an item of 7 to 15.  Items of fewer
+pattern of up to four substitutions in 15 or 16 tokens, ``SHORT_MASKS`` every accepted pattern of an item of 7 to 14.  Items of fewer
 tokens are found where a document holds them whole.  Documents are hashed under the masks that some item needs.
 
 The documents' hashes never leave their task if the items' hashes are few enough to be broadcast (counted first); otherwise
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 7, 9), (0, 3, 4, 5, 6))
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
 STRETCH = 16
+#: Items of fewer tokens have masks of their own.
+LONG = 15
 SHORT_MASKS = ((0, 1, 3), (0, 1, 2))
 #: Items of fewer tokens must stand whole in a document.
 SHORT = 7
@@ -45,19 +47,20 @@ def _tokens(text: str) -> Column:
 def _ranges(masks) -> list[tuple[tuple[int, ...], int, int]]:
     """(mask, least and most tokens of the items under it); items count as ``STRETCH`` tokens at most."""
     whole = [(tuple(range(n)), n, n) for n in range(1, SHORT)]
-    return [*((m, STRETCH, STRETCH) for m in masks), *((m, SHORT, STRETCH - 1) for m in SHORT_MASKS), *whole]
+    return [*((m, LONG, STRETCH) for m in masks), *((m, SHORT, LONG - 1) for m in SHORT_MASKS), *whole]
 
 
 def _seeded(d: DataFrame, tokens: str, ranges, of_items: bool) -> DataFrame:
     """Columns ``pos``, ``seed`` and ``n`` in place of a token array: hashes of all places under the first mask, then under the second..."""
     n, arrays = f"size({tokens})", []
-    for k, (mask, low, high) in enumerate(ranges):
+    for mask, low, high in ranges:
         picked = ", ".join(f"{tokens}[i + {o}]" if o else f"{tokens}[i]" for o in mask)
         fits = f"{n} > {mask[-1]}" + (f" and least({n}, {STRETCH}) between {low} and {high}" if of_items else "")
-        arrays.append(f"if({fits}, transform(sequence(0, greatest({n} - {mask[-1] + 1}, 0)), i -> xxhash64({k}, {picked})), cast(array() as array<bigint>))")
+        arrays.append(f"if({fits}, transform(sequence(0, greatest({n} - {mask[-1] + 1}, 0)), i -> xxhash64({picked})), cast(array() as array<bigint>))")
     own = [c for c in d.columns if c != tokens]
-    d = d.select(*own, F.expr(n).alias("n"), F.posexplode_outer(F.expr(f"concat({', '.join(arrays)})")).alias("pos", "seed"))  # not posexplode: Spark would compute the array twice
-    return d.where("seed is not null")
+    d = d.select(*own, F.expr(n).alias("n"), F.expr(f"concat({', '.join(arrays)})").alias("__seeds"))
+    # nothing but numbers stands beside the array while it is exploded; not posexplode, for which Spark would compute the array twice
+    return d.select(*own, "n", F.posexplode_outer("__seeds").alias("pos", "seed")).where("seed is not null")
 
 
 def _place(ranges, of_items: bool) -> Column:
