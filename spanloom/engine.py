@@ -6,7 +6,7 @@ import json
 import time
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
@@ -15,14 +15,25 @@ from .operators import exemplars, lookups, series, traces
 from .operators.matchers import Matcher, select
 from .plans import language
 from .plans.planner import Options, Planner, execute, matchers_of
+from .streaming.store import SpanStore, overlapping
 
 DAY = 86400 * scalar.SECOND
+#: Series and points of a collected answer, unless a caller says otherwise; what is left out is reported.
+MAX_SERIES, MAX_POINTS = 10_000, 1_000_000
 
 
 class Engine:
     def __init__(self, spans: DataFrame, links: DataFrame | None = None):
         self.spans, self.links = spans, links
         self.spark: SparkSession = spans.sparkSession
+        self.store: SpanStore | None = None
+
+    @classmethod
+    def from_store(cls, store: SpanStore, start: int | None = None, end: int | None = None, snapshot: int | None = None, include_head: bool = False) -> Engine:
+        """An engine over the blocks of a store that may overlap [start, end], and over its head if asked for."""
+        e = cls(store.read(start, end, snapshot, include_head), store.read_links(start, end, snapshot, include_head))
+        e.store = store
+        return e
 
     # ------------------------------------------------------------ metric language
 
@@ -31,8 +42,23 @@ class Engine:
         step = scalar.parse_duration(step) if isinstance(step, str) and step else (step or 0)
         return execute(self.spans, text, Options(scalar.parse_time(start), scalar.parse_time(end), step, limit, mode))
 
-    def query_range(self, text: str, start: int | str | None = None, end: int | str | None = None, step: str = "", exemplars_per_step: int = 0, strategy: str = "slowest") -> dict:
-        """Collected answer in the Prometheus JSON form: {status, data: {resultType, result}}; selectors become counts over time."""
+    def query_with_stats(self, text: str, start: int, end: int, step: int = 0) -> tuple[str, list[Row], dict]:
+        """(result type, rows, statistics): spans that left the scan, blocks read and blocks there are (with a store), rows and seconds."""
+        began, seen = time.monotonic(), Observation()
+        node = language.normalize(language.parse(text))
+        language.validate(node)
+        planner = Planner(self.spans, Options(start, end, step), seen)
+        rows = planner.plan(node).collect()
+        stats = {"spans_scanned": seen.get["spans"] if planner.observed else 0, "rows": len(rows), "seconds": time.monotonic() - began}
+        if self.store is not None:
+            m = self.store.manifest()
+            stats |= {"blocks": m.count(), "blocks_scanned": overlapping(m, start, end).count()}
+        return language.result_type(node), rows, stats
+
+    def query_range(self, text: str, start: int | str | None = None, end: int | str | None = None, step: str = "", exemplars_per_step: int = 0, strategy: str = "slowest", max_series: int = MAX_SERIES, max_points: int = MAX_POINTS) -> dict:
+        """Collected answer in the Prometheus JSON form: {status, data: {resultType, result}}; selectors become counts over time.  An answer
+        goes through the driver, so it has ``max_series`` series and ``max_points`` points at most, in order of series and time, and says so in ``limited``;
+        :meth:`query` gives the whole result as a DataFrame."""
         stop = scalar.parse_time(end) if end is not None else time.time_ns()
         begin = scalar.parse_time(start) if start is not None else stop - 3600 * scalar.SECOND
         width = scalar.parse_duration(step) if step else scalar.default_step(stop - begin)
@@ -45,8 +71,10 @@ class Engine:
             kind, plan = "matrix", series.count_over_time(plan, begin, stop, width)
         found = []
         if exemplars_per_step:
-            found = [r.asDict() for r in self.exemplars(text, begin, stop, width, exemplars_per_step, strategy).collect()]
-        data = to_prometheus(kind, plan)
+            most = exemplars.fetch_limit(exemplars_per_step, language.bare_selector(node)[2]) * max(1, (stop - begin) // width + 1)
+            rows = self.exemplars(text, begin, stop, width, exemplars_per_step, strategy)
+            found = [r.asDict() for r in rows.orderBy("bucket", "rank").limit(most).collect()]
+        data = to_prometheus(kind, plan, max_series, max_points)
         return {"status": "success", "data": data | ({"exemplars": found} if exemplars_per_step else {})}
 
     def query_stream(self, text: str, start: int, end: int, step: int = 0) -> Iterator[Row]:
@@ -128,17 +156,29 @@ class Engine:
         return sql.query(self.spark, text)
 
 
-def to_prometheus(kind: str, plan: DataFrame) -> dict:
+def to_prometheus(kind: str, plan: DataFrame, max_series: int = MAX_SERIES, max_points: int = MAX_POINTS) -> dict:
     """Collected result in JSON form; values as texts of at most 15 digits, times in seconds."""
     value = lambda v: f"{v:.15g}"
     if kind == "scalar":
         r = plan.first()
         return {"resultType": "scalar", "result": [r.time_ns / scalar.SECOND, value(r.value)]}
     if kind == "vector":
-        rows = plan.orderBy("series").collect()
-        return {"resultType": "vector", "result": [{"metric": _metric(r.series), "value": [r.time_ns / scalar.SECOND, value(r.value)]} for r in rows]}
-    rows = plan.groupBy("labels").agg(F.array_sort(F.collect_list(F.struct("time_ns", "value"))).alias("points")).orderBy("labels").collect()
-    return {"resultType": "matrix", "result": [{"metric": {e.key: e.value for e in r.labels}, "values": [[p.time_ns / scalar.SECOND, value(p.value)] for p in r.points]} for r in rows]}
+        rows = plan.orderBy("series").limit(max_series + 1).collect()
+        out = {"resultType": "vector", "result": [{"metric": _metric(r.series), "value": [r.time_ns / scalar.SECOND, value(r.value)]} for r in rows[:max_series]]}
+        return out | ({"limited": True} if len(rows) > max_series else {})
+    # points one row each, so no series is ever one row
+    rows = plan.select("labels", "time_ns", "value").orderBy("labels", "time_ns").limit(max_points + 1).collect()
+    result: list[dict] = []
+    last = None
+    for r in rows[:max_points]:
+        if r.labels != last:
+            if len(result) == max_series:
+                break
+            result.append({"metric": {e.key: e.value for e in r.labels}, "values": []})
+            last = r.labels
+        result[-1]["values"].append([r.time_ns / scalar.SECOND, value(r.value)])
+    whole = sum(len(x["values"]) for x in result) == len(rows)
+    return {"resultType": "matrix", "result": result} | ({} if whole else {"limited": True})
 
 
 def _metric(text: str) -> dict[str, str]:

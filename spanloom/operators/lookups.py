@@ -41,10 +41,9 @@ def attribute_ids(spans: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def attribute_ids_batch(spans: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(pair, span_ids) for several attribute values at once, in one pass over the tags."""
+    """(pair, span_id) for several attribute values at once, in one pass over the tags and without a shuffle."""
     wanted = [f"{k}={v}" for k, v in pairs]
-    d = spans.select("span_id", F.explode(F.filter(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), lambda p: p.isin(*wanted))).alias("pair"))
-    return d.groupBy("pair").agg(F.array_sort(F.collect_list("span_id")).alias("span_ids"))
+    return spans.select(F.explode(F.filter(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), lambda p: p.isin(*wanted))).alias("pair"), "span_id")
 
 
 def attributes(spans: DataFrame) -> DataFrame:
@@ -92,13 +91,13 @@ def link_targets(spans: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(t, ["linked_trace_id", "linked_span_id"])
 
 
-def union_first(*sources: DataFrame) -> DataFrame:
+def union_first(*sources: DataFrame, by: Sequence[str] = ("span_id",)) -> DataFrame:
     """Union of sources in which the first source with a span id wins."""
     every = None
     for rank, d in enumerate(sources):
         d = d.withColumn("__rank", F.lit(rank))
         every = d if every is None else every.unionByName(d)
-    w = W.partitionBy("span_id").orderBy("__rank", "start_time", "trace_id")
+    w = W.partitionBy(*by).orderBy("__rank", "start_time", "trace_id")
     return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__rank")
 
 

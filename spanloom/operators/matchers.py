@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
+from ..functions.regex import java_regex
 
 OPS = ("=", "!=", "=~", "!~")
 
@@ -31,17 +31,6 @@ class Matcher:
         return f'{self.name}{self.op}"{self.value.replace(chr(92), chr(92) * 2).replace(chr(34), chr(92) + chr(34))}"'
 
 
-def java_regex(pattern: str) -> str:
-    """The pattern, anchored at both ends, in the dialect of Java; what RE2 does not know is refused."""
-    if re.search(r"(?<!\\)(?:\\\\)*\(\?(?:[=!]|<[=!])", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
-        raise ValueError(f"unsupported regular expression {pattern!r}: no look-around and no back-references")
-    try:
-        re.compile(re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern))
-    except re.error as e:
-        raise ValueError(f"invalid regular expression {pattern!r}: {e}") from None
-    return rf"(?d)\A(?:{pattern.replace('(?P<', '(?<')})\z"
-
-
 def predicate(m: Matcher) -> Column:
     """``=`` and ``=~`` need the label; ``!=`` and ``!~`` hold where it is absent."""
     x = label(m.name)
@@ -63,6 +52,11 @@ def overlaps(start: int, end: int) -> Column:
     return (F.col("end_time") >= start) & (F.col("start_time") <= end)
 
 
+def contained(start: int, end: int) -> Column:
+    """Spans that start in [start, end], both ends included."""
+    return F.col("start_time").between(start, end)
+
+
 def select(spans: DataFrame, matchers: Iterable[Matcher] = (), start: int | None = None, end: int | None = None) -> DataFrame:
     """The one scan: time and field predicates reach the Parquet reader, tags are read only where a matcher needs them."""
     if start is not None:

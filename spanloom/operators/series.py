@@ -68,10 +68,10 @@ def heatmap_matrix(spans: DataFrame) -> DataFrame:
     return heatmap(spans).select(labels.alias("labels"), F.col("bucket1s").alias("time_ns"), F.col("count").cast("double").alias("value"))
 
 
-def heatmap_grid(spans: DataFrame, step: int) -> DataFrame:
-    """Dense grid: a row for each duration bucket, a column for each time step (in seconds), counts inside."""
-    t = scalar.step_index(F.col("start_time"), step) * F.lit(step // scalar.SECOND)
-    return spans.withColumn("__t", t).groupBy("duration_bucket").pivot("__t").count().na.fill(0)
+def heatmap_grid(spans: DataFrame, step: int, times: Sequence[int]) -> DataFrame:
+    """Dense grid: a row for each duration bucket, a column ``t<seconds>`` for each of the time steps that begin at ``times`` (ns), counts inside."""
+    t = F.col("start_time") - F.pmod(F.col("start_time"), F.lit(step))
+    return spans.groupBy("duration_bucket").agg(*(F.count(F.when(t == x, 1)).alias(f"t{x // scalar.SECOND}") for x in times))
 
 
 def quantile(spans: DataFrame, q: float, at: int) -> DataFrame:

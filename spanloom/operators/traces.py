@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..shared import drop, saved
 from .lookups import by_trace_id
 from .matchers import Matcher, select, within_duration
 
+#: Doublings after which pointers that still move are on a cycle.
+MAX_ROUNDS = 20
 _HIDDEN = ("trace_id", "span_id", "parent_span_id", "name")
 
 
@@ -46,71 +49,88 @@ def _ordered(items: Column) -> Column:
     return F.array_sort(F.collect_list(items))
 
 
+def _traces(spans: DataFrame) -> DataFrame:
+    """(trace_id, s): the spans of each trace in order of time, tags as sorted entries; the one grouping under every trace document."""
+    item = F.struct("start_time", "span_id", "name", "parent_span_id", "end_time", "duration", "service_name", F.array_sort(F.map_entries("tags")).alias("tags"))
+    return spans.groupBy("trace_id").agg(_ordered(item).alias("s"))
+
+
+def _string_attributes(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+
+
 def search_metadata(spans: DataFrame) -> DataFrame:
     """Search result of a trace: root, bounds, the set of its spans with attributes, statistics by service."""
-    attrs = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
-    item = F.struct("start_time", "span_id", "name", (F.col("end_time") - F.col("start_time")).alias("d"), attrs.alias("attributes"))
-    sets = spans.groupBy("trace_id").agg(_ordered(item).alias("s"))
-    stats = service_stats(spans).groupBy("trace_id").agg(_ordered(F.struct("service_name", F.struct(F.col("span_count").alias("spanCount"), F.col("error_count").alias("errorCount")).alias("stat"))).alias("stats"))
-    d = summary(spans).join(sets, "trace_id").join(stats, "trace_id")
-    span = lambda x: F.struct(x["span_id"].alias("spanID"), x["name"].alias("name"), x["start_time"].cast("string").alias("startTimeUnixNano"), x["d"].cast("string").alias("durationNanos"), x["attributes"].alias("attributes"))
+    d = _traces(spans).withColumns({
+        "root": F.array_min(F.transform("s", lambda x: F.struct(x["parent_span_id"].isNotNull().alias("child"), x["start_time"], x["span_id"], x["service_name"].alias("service_name"), x["name"].alias("name")))),
+        "first": F.array_min(F.transform("s", lambda x: x["start_time"])), "last": F.array_max(F.transform("s", lambda x: x["end_time"])),
+        "services": F.array_sort(F.array_distinct(F.transform("s", lambda x: x["service_name"]))),
+    })
+    failed = lambda x: F.exists(x["tags"], lambda e: (e["key"] == "status.code") & (e["value"] == "error"))
+    own = lambda name: F.filter("s", lambda x: x["service_name"] == name)
+    stat = lambda name: F.struct(name.alias("key"), F.struct(F.size(own(name)).cast("long").alias("spanCount"), F.size(F.filter(own(name), lambda x: F.coalesce(failed(x), F.lit(False)))).cast("long").alias("errorCount")).alias("value"))
+    span = lambda x: F.struct(x["span_id"].alias("spanID"), x["name"].alias("name"), x["start_time"].cast("string").alias("startTimeUnixNano"), (x["end_time"] - x["start_time"]).cast("string").alias("durationNanos"), _string_attributes(x["tags"]).alias("attributes"))
+    ms = F.call_function("div", F.col("last") - F.col("first"), F.lit(1_000_000))
     return d.select(
-        F.col("trace_id").alias("traceID"), F.col("root_service").alias("rootServiceName"), F.col("root_name").alias("rootTraceName"), F.col("start_time").cast("string").alias("startTimeUnixNano"),
-        F.col("duration_ms").alias("durationMs"), F.array(F.struct(F.transform("s", span).alias("spans"), F.size("s").alias("matched"))).alias("spanSets"), F.map_from_entries("stats").alias("serviceStats"),
+        F.col("trace_id").alias("traceID"), F.col("root.service_name").alias("rootServiceName"), F.col("root.name").alias("rootTraceName"), F.col("first").cast("string").alias("startTimeUnixNano"),
+        ms.alias("durationMs"), F.array(F.struct(F.transform("s", span).alias("spans"), F.size("s").alias("matched"))).alias("spanSets"), F.map_from_entries(F.transform("services", stat)).alias("serviceStats"),
     )
 
 
 # ---------------------------------------------------------------- documents
 
 
-def typed_tags(keep: Column | None = None) -> Column:
-    """Tags as (key, type, value) in order of key."""
-    return F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.struct(e["key"].alias("key"), scalar.typed_tag_type(e["value"]).alias("type"), e["value"].alias("value")))
+def _typed(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), scalar.typed_tag_type(e["value"]).alias("type"), e["value"].alias("value")))
 
 
-def document_spans(spans: DataFrame) -> DataFrame:
-    """Spans in the form of trace documents: microseconds, references, typed tags, process ids by first appearance."""
-    order = W.partitionBy("trace_id").orderBy("start_time", "span_id")
-    first = F.min(F.struct("start_time", "span_id")).over(W.partitionBy("trace_id", "service_name"))
-    d = spans.withColumn("__first", first)
-    d = d.withColumn("processID", F.concat(F.lit("p"), F.dense_rank().over(W.partitionBy("trace_id").orderBy("__first")).cast("string")))
-    own = F.filter(typed_tags(), lambda t: ~scalar.is_resource_attribute(t["key"]) & ~t["key"].isin(*_HIDDEN))
-    reference = F.struct(F.lit("CHILD_OF").alias("refType"), F.col("trace_id").alias("traceID"), F.col("parent_span_id").alias("spanID"))
-    return d.select(
-        F.col("trace_id").alias("traceID"), F.col("span_id").alias("spanID"), F.col("name").alias("operationName"),
-        F.when(F.col("parent_span_id").isNotNull(), F.array(reference)).otherwise(F.array().cast("array<struct<refType:string,traceID:string,spanID:string>>")).alias("references"),
-        F.call_function("div", F.col("start_time"), F.lit(1000)).alias("startTime"), F.call_function("div", F.col("duration"), F.lit(1000)).alias("duration"),
-        own.alias("tags"), F.array().cast("array<struct<timestamp:bigint,fields:array<struct<key:string,type:string,value:string>>>>").alias("logs"), "processID",
-        F.row_number().over(order).alias("seq"), "service_name", F.col("start_time").alias("start_ns"), F.col("tags").alias("raw_tags"),
-    )
+_NO_REFERENCES = "array<struct<refType:string,traceID:string,spanID:string>>"
+_NO_LOGS = "array<struct<timestamp:bigint,fields:array<struct<key:string,type:string,value:string>>>>"
 
 
 def documents(spans: DataFrame) -> DataFrame:
-    """One document a trace: (traceID, spans, processes)."""
-    d = document_spans(spans)
-    fields = ("traceID", "spanID", "operationName", "references", "startTime", "duration", "tags", "logs", "processID")
-    listed = d.groupBy("traceID").agg(_ordered(F.struct("seq", F.struct(*fields).alias("span"))).alias("s"))
-    resource = F.transform(F.filter(F.array_sort(F.map_entries("raw_tags")), lambda e: scalar.is_resource_attribute(e["key"])), lambda e: F.struct(e["key"].alias("key"), F.lit("string").alias("type"), e["value"].alias("value")))
-    process = d.groupBy("traceID", "processID").agg(F.min(F.struct("seq", "service_name", resource.alias("tags"))).alias("p"))
-    process = process.groupBy("traceID").agg(_ordered(F.struct("processID", F.struct(F.col("p.service_name").alias("serviceName"), F.col("p.tags").alias("tags")).alias("process"))).alias("p"))
-    return listed.join(process, "traceID").select("traceID", F.transform("s", lambda x: x["span"]).alias("spans"), F.map_from_entries("p").alias("processes"))
+    """One document a trace: (traceID, spans, processes).  Microseconds, references, typed tags, a process for each service, numbered by first appearance."""
+    d = _traces(spans).withColumn("services", F.array_distinct(F.transform("s", lambda x: x["service_name"])))  # in order of first appearance
+    process = lambda name: F.concat(F.lit("p"), F.array_position(F.col("services"), name).cast("string"))
+    reference = lambda x: F.struct(F.lit("CHILD_OF").alias("refType"), F.col("trace_id").alias("traceID"), x["parent_span_id"].alias("spanID"))
+    shown = lambda x: F.filter(x["tags"], lambda t: ~scalar.is_resource_attribute(t["key"]) & ~t["key"].isin(*_HIDDEN))
+    span = lambda x: F.struct(
+        F.col("trace_id").alias("traceID"), x["span_id"].alias("spanID"), x["name"].alias("operationName"),
+        F.when(x["parent_span_id"].isNotNull(), F.array(reference(x))).otherwise(F.array().cast(_NO_REFERENCES)).alias("references"),
+        F.call_function("div", x["start_time"], F.lit(1000)).alias("startTime"), F.call_function("div", x["duration"], F.lit(1000)).alias("duration"),
+        _typed(shown(x)).alias("tags"), F.array().cast(_NO_LOGS).alias("logs"), process(x["service_name"]).alias("processID"),
+    )
+    resource = lambda x: F.transform(F.filter(x["tags"], lambda e: scalar.is_resource_attribute(e["key"])), lambda e: F.struct(e["key"].alias("key"), F.lit("string").alias("type"), e["value"].alias("value")))
+    first = lambda name: F.element_at(F.filter("s", lambda x: x["service_name"] == name), 1)
+    processes = F.transform("services", lambda name: F.struct(process(name).alias("key"), F.struct(name.alias("serviceName"), resource(first(name)).alias("tags")).alias("value")))
+    return d.select(F.col("trace_id").alias("traceID"), F.transform("s", span).alias("spans"), F.map_from_entries(processes).alias("processes"))
+
+
+def document_spans(spans: DataFrame) -> DataFrame:
+    """The spans of :func:`documents`, one row each, with their place ``seq`` in the document."""
+    return documents(spans).select(F.posexplode("spans").alias("at", "x")).select("x.*", (F.col("at") + 1).alias("seq"))
 
 
 def resource_spans(spans: DataFrame) -> DataFrame:
-    """Spans in OTLP form, one row a service: resource attributes of its first span, and its spans.  ``spans`` may have links."""
-    attr = lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value"))
+    """Spans in OTLP form, one row for each service of a trace: resource attributes of its first span, and its spans.  ``spans`` may have links."""
     entries = F.array_sort(F.map_entries("tags"))
-    own = F.transform(F.filter(entries, lambda e: ~scalar.is_resource_attribute(e["key"]) & ~F.exists(F.array(*map(F.lit, _HIDDEN)), lambda h: e["key"].startswith(h))), attr)
+    own = _string_attributes(F.filter(entries, lambda e: ~scalar.is_resource_attribute(e["key"]) & ~F.exists(F.array(*map(F.lit, _HIDDEN)), lambda h: e["key"].startswith(h))))
     kind = F.coalesce(F.array_position(F.array(*map(F.lit, scalar.SPAN_KINDS)), F.col("tags")["span.kind"]) - 1, F.lit(1))
-    links = F.transform("links", lambda x: F.struct(x["linked_trace_id"].alias("traceId"), x["linked_span_id"].alias("spanId"), F.transform(x["attributes"], attr).alias("attributes"))) if "links" in spans.columns else F.array().cast("array<struct<traceId:string,spanId:string>>")
+    links = F.transform("links", lambda x: F.struct(x["linked_trace_id"].alias("traceId"), x["linked_span_id"].alias("spanId"), _string_attributes(x["attributes"]).alias("attributes"))) if "links" in spans.columns else F.array().cast("array<struct<traceId:string,spanId:string>>")
     span = F.struct(
         F.col("start_time").alias("t"), F.col("span_id").alias("spanId"), F.col("trace_id").alias("traceId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), F.col("name").alias("name"),
         F.when(kind < 2, F.lit(1)).otherwise(kind).cast("int").alias("kind"), F.col("start_time").cast("string").alias("startTimeUnixNano"), F.col("end_time").cast("string").alias("endTimeUnixNano"), own.alias("attributes"), links.alias("links"), F.struct(F.lit(0).alias("code")).alias("status"),
     )
-    head = F.min(F.struct("start_time", "span_id", F.transform(F.filter(entries, lambda e: scalar.is_resource_attribute(e["key"])), attr).alias("a")))
-    d = spans.groupBy("service_name").agg(head.alias("h"), _ordered(span).alias("s"))
+    head = F.min(F.struct("start_time", "span_id", _string_attributes(F.filter(entries, lambda e: scalar.is_resource_attribute(e["key"]))).alias("a")))
+    d = spans.groupBy("trace_id", "service_name").agg(head.alias("h"), _ordered(span).alias("s"))
     scope = F.struct(F.lit("spanloom").alias("name"), F.lit("1.0.0").alias("version"))
-    return d.select("service_name", F.struct(F.col("h.a").alias("attributes")).alias("resource"), F.array(F.struct(scope.alias("scope"), F.transform("s", lambda x: x.dropFields("t")).alias("spans"))).alias("scopeSpans"))
+    return d.select("trace_id", "service_name", F.struct(F.col("h.a").alias("attributes")).alias("resource"), F.array(F.struct(scope.alias("scope"), F.transform("s", lambda x: x.dropFields("t")).alias("spans"))).alias("scopeSpans"))
+
+
+def export_requests(spans: DataFrame) -> DataFrame:
+    """(trace_id, value): one OTLP/JSON export request a trace, which :mod:`spanloom.sources.otlp` reads back."""
+    d = resource_spans(spans).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("service_name", F.struct("resource", "scopeSpans").alias("r")))).alias("r"))
+    return d.select("trace_id", F.to_json(F.struct(F.transform("r", lambda x: x["r"]).alias("resourceSpans"))).alias("value"))
 
 
 def detail(spans: DataFrame, trace_id: str) -> DataFrame:
@@ -122,6 +142,12 @@ def detail(spans: DataFrame, trace_id: str) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
+def with_parent(spans: DataFrame, columns: Sequence[str] = ("name", "service_name", "start_time")) -> DataFrame:
+    """Spans whose parent is in their trace, with columns of the parent under ``parent_<name>``."""
+    p = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), *(F.col(c).alias(f"parent_{c}") for c in columns))
+    return spans.join(p, ["trace_id", "parent_span_id"])
+
+
 def roots(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("parent_span_id").isNull())
 
@@ -136,7 +162,7 @@ def tree(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, parent_span_id (null for roots and orphans), depth, root_span_id, sibling (place among siblings by time).
 
     Pointer jumping: each round doubles the distance a span knows to an ancestor, so a chain of n spans needs log2(n)
-    joins, and parents on a cycle end as their own roots.
+    joins.  Spans on a cycle, or below one, never reach a root: after ``MAX_ROUNDS`` (a depth of 2 ** 20) they stay where they are.
     """
     have = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
     d = spans.select("trace_id", "span_id", "parent_span_id", "start_time").join(have, ["trace_id", "parent_span_id"], "left")
@@ -145,13 +171,22 @@ def tree(spans: DataFrame) -> DataFrame:
 
 
 def _depths(d: DataFrame) -> DataFrame:
-    up = d.select("trace_id", "span_id", "parent_span_id", "start_time", F.coalesce("parent_span_id", "span_id").alias("up"), F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).alias("depth"))
-    longest = d.groupBy("trace_id").count().agg(F.max("count").alias("n")).first().n or 1
-    for _ in range(max(1, (longest - 1).bit_length())):
-        above = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        up = up.join(above, ["trace_id", "up"]).select("trace_id", "span_id", "parent_span_id", "start_time", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"))
+    """Pointers are jumped over until all of them rest at a root, so rounds follow the depth of the deepest tree and not the size of a trace.
+    Each round is a table of its own: spans that have arrived are set aside, plans stay small, and a lost executor costs the round's tasks."""
+    spark = d.sparkSession
+    root = F.col("parent_span_id").isNull()
+    up, path = saved(d.select("trace_id", "span_id", F.coalesce("parent_span_id", "span_id").alias("up"), F.when(root, 0).otherwise(1).alias("depth"), root.alias("there")), "tree")
+    for _ in range(MAX_ROUNDS):
+        if up.where("not there").isEmpty():
+            break
+        above = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("there").alias("there2"))
+        moved = up.where("not there").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("there2").alias("there"))
+        further, further_path = saved(up.where("there").unionByName(moved), "tree")
+        drop(spark, path)
+        up, path = further, further_path
     sibling = F.row_number().over(W.partitionBy("trace_id", "parent_span_id").orderBy("start_time", "span_id"))
-    return up.select("trace_id", "span_id", "parent_span_id", "depth", F.col("up").alias("root_span_id"), sibling.alias("sibling"))
+    out = d.join(up, ["trace_id", "span_id"])
+    return out.select("trace_id", "span_id", "parent_span_id", "depth", F.col("up").alias("root_span_id"), sibling.alias("sibling"))
 
 
 def flattened(spans: DataFrame, trace_id: str, collapsed: Sequence[str] = ()) -> DataFrame:

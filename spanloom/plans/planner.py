@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import series
 from ..operators.matchers import Matcher, overlaps, select
-from .language import Aggregation, Call, LanguageError, Node, Number, Range, Selector, normalize, parse, result_type, validate
+from .language import EXTENSIONS, Aggregation, Call, LanguageError, Node, Number, Range, Selector, normalize, parse, result_type, validate
 
 
 @dataclass(frozen=True)
@@ -25,10 +24,6 @@ class Options:
     mode: str = "documented"
 
 
-#: Further functions of the language: name -> (spans, arguments, options) -> matrix.
-EXTENSIONS: dict[str, Callable] = {}
-
-
 def matchers_of(selector: Selector) -> list[Matcher]:
     """Matchers of a selector; a metric name stands for the service."""
     own = [Matcher("service_name", "=", selector.metric)] if selector.metric else []
@@ -36,10 +31,18 @@ def matchers_of(selector: Selector) -> list[Matcher]:
 
 
 class Planner:
-    def __init__(self, spans: DataFrame, options: Options):
-        self.spans, self.o = spans, options
+    def __init__(self, spans: DataFrame, options: Options, seen: Observation | None = None):
+        self.spans, self.o, self.seen, self.observed = spans, options, seen, False
 
     def scan(self, node: Selector | Range) -> DataFrame:
+        """Spans of a selector in the evaluation range, counted by the first scan if somebody wants to know."""
+        d = self._scan(node)
+        if self.seen is None or self.observed:
+            return d
+        self.observed = True
+        return d.observe(self.seen, F.count(F.lit(1)).alias("spans"))
+
+    def _scan(self, node: Selector | Range) -> DataFrame:
         """Spans of a selector in the evaluation range; of a range selector also those of the lookback before it."""
         if isinstance(node, Range):
             back = scalar.parse_duration(node.length)
@@ -69,7 +72,7 @@ class Planner:
             if not isinstance(node.args[1], (Selector, Range)):
                 raise LanguageError("histogram_quantile() needs spans: a selector or a range selector")
             return series.quantile(self.scan(node.args[1]), node.args[0].value, self.o.end)
-        return EXTENSIONS[node.name](self.spans, node.args, self.o)
+        return EXTENSIONS[node.name][0](self, node.args)
 
     def aggregation(self, node: Aggregation) -> DataFrame:
         kind, keys = (node.grouping.kind, node.grouping.keys) if node.grouping else (None, ())

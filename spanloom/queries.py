@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import sql as spansql
 from .functions import labels, scalar
-from .operators import exemplars, lookups, series, traces
-from .operators.matchers import Matcher, select, within_duration
+from .operators import exemplars, joins, lookups, series, traces
+from .operators.matchers import Matcher, contained, select, within_duration
 from .plans.planner import Options, execute
 from .schema import with_generated
 from .sources.events import links_from_events, spans_from_events
@@ -78,6 +78,14 @@ def _selector(name: str, text: str, where: str) -> None:
     query(name, f"{_SELECT} WHERE {window} AND {where}")(lambda s, _: _plain(execute(s, text, Options(START, END))[1]))
 
 
+#: The trace of one span, whatever the size of the data.
+TRACE_SQL = "(SELECT trace_id FROM spans WHERE span_id = '000000000000002a')"
+
+
+def trace_of(spans: DataFrame, span_id: str = "2a") -> str:
+    return lookups.by_span_id(spans, span_id).first().trace_id
+
+
 # ---------------------------------------------------------------- scans and matchers
 
 query("select_all", _SELECT)(lambda s, _: _plain(s))
@@ -85,21 +93,24 @@ _selector("match_eq", '{k="7"}', "k = '7'")
 _selector("match_neq_absent", '{status.code!="error"}', "(status IS NULL OR status <> 'error')")
 _selector("match_regex", '{name=~"cl.*|view"}', "regexp_full_match(name, 'cl.*|view')")
 _selector("match_nregex", '{k!~"[0-4].*"}', "(k IS NULL OR NOT regexp_full_match(k, '[0-4].*'))")
+_selector("match_regex_posix", '{host.id=~"h[[:digit:]]+",name=~"(?i)CL\\\\pL+|[v&&i]iew"}', "regexp_full_match(host, 'h[0-9]+') AND regexp_full_match(name, 'cl[a-z]+|view')")
+_selector("match_regex_literal", '{name=~"\\\\Qclick\\\\E\\\\z|vie[^]]$"}', "name IN ('click', 'view')")
 _selector("match_toplevel", '{service.name="svc-1",name="error"}', "service_name = 'svc-1' AND name = 'error'")
 _selector("match_conjunction", '{span.kind="server",k=~"[1-5]"}', "kind = 'server' AND regexp_full_match(k, '[1-5]')")
 query("metric_prefix", f"{_SELECT} WHERE name = 'click' AND service_name = 'svc-3' AND end_time >= {START} AND start_time <= {END}")(
     lambda s, _: _plain(execute(s.withColumn("service_name", F.regexp_replace("service_name", "-", "_")), 'svc_3{name="click"}', Options(START, END))[1].withColumn("service_name", F.regexp_replace("service_name", "_", "-")))
 )
 query("time_overlap", f"{_SELECT} WHERE end_time >= {START + STEP} AND start_time <= {START + 3 * STEP}")(lambda s, _: _plain(select(s, [], START + STEP, START + 3 * STEP)))
-query("time_contained", f"{_SELECT} WHERE start_time BETWEEN {START + STEP} AND {START + 3 * STEP}")(lambda s, _: _plain(s.where(F.col("start_time").between(START + STEP, START + 3 * STEP))))
+query("time_contained", f"{_SELECT} WHERE start_time BETWEEN {START + STEP} AND {START + 3 * STEP}")(lambda s, _: _plain(s.where(contained(START + STEP, START + 3 * STEP))))
 query("matrix_selector", f"{_SELECT} WHERE service_name = 'svc-1' AND start_time BETWEEN {START - BACK} AND {END}")(lambda s, _: _plain(execute(s, '{service_name="svc-1"}[5h]', Options(START, END))[1]))
 query("span_by_id", f"{_SELECT} WHERE span_id = '000000000000002a'")(lambda s, _: _plain(lookups.by_span_id(s, "2A")))
 query("spans_by_ids", f"{_SELECT} WHERE span_id IN ('0000000000000001', '00000000000000ff', '0000000000000100')")(lambda s, _: _plain(lookups.by_span_ids(s, ["1", "ff", "100", "1"])))
-query("trace_by_id", f"{_SELECT} WHERE trace_id IN (SELECT trace_id FROM spans WHERE span_id = '000000000000002a')")(lambda s, _: _plain(s.join(lookups.by_span_id(s, "2a").select("trace_id"), "trace_id", "left_semi")))
+query("trace_by_id", f"{_SELECT} WHERE trace_id = {TRACE_SQL}")(lambda s, _: _plain(lookups.by_trace_id(s, trace_of(s))))
+query("trace_by_span", f"{_SELECT} WHERE trace_id = {TRACE_SQL}")(lambda s, _: _plain(s.join(lookups.by_span_id(s, "2a").select("trace_id"), "trace_id", "left_semi")))
 query("spans_by_tag", f"{_SELECT} WHERE host = 'h12'")(lambda s, _: _plain(lookups.by_tag(s, "host.id", "h12")))
 query("attr_first_semijoin", f"{_SELECT} WHERE k = '11' AND name = 'view'")(lambda s, _: _plain(lookups.by_span_ids(s, lookups.attribute_ids(s, "k", "11")).where("name = 'view'")))
-query("attr_batch", "SELECT pair, string_agg(span_id, ',' ORDER BY span_id) AS span_ids FROM (SELECT 'k=' || k AS pair, span_id FROM spans WHERE k IN ('3', '4') UNION ALL SELECT 'status.code=' || status, span_id FROM spans WHERE status = 'error') GROUP BY pair")(
-    lambda s, _: lookups.attribute_ids_batch(s, [("k", "3"), ("k", "4"), ("status.code", "error")]).select("pair", F.array_join("span_ids", ",").alias("span_ids"))
+query("attr_batch", "SELECT 'k=' || k AS pair, span_id FROM spans WHERE k IN ('3', '4') UNION ALL SELECT 'status.code=' || status, span_id FROM spans WHERE status = 'error'")(
+    lambda s, _: lookups.attribute_ids_batch(s, [("k", "3"), ("k", "4"), ("status.code", "error")])
 )
 query("dedup_fanout", "SELECT span_id, min(src) AS src FROM (SELECT span_id, 'a' AS src FROM spans WHERE duration_bucket < 27 UNION ALL SELECT span_id, 'b' FROM spans WHERE name <> 'view') GROUP BY span_id")(
     lambda s, _: lookups.union_first(s.where("duration_bucket < 27").withColumn("src", F.lit("a")), s.where("name <> 'view'").withColumn("src", F.lit("b"))).select("span_id", "src")
@@ -139,7 +150,11 @@ _HEAT = f", h AS (SELECT bucket1s, duration_bucket, count(*) AS n FROM spans WHE
 query("sum_heatmap", "SELECT '' AS series, bucket1s AS time_ns, CAST(sum(n) AS DOUBLE) AS value FROM h GROUP BY bucket1s", _HEAT)(_run("sum(heatmap({}))"))
 query("heatmap", f"SELECT bucket1s, duration_bucket, count(*) AS count FROM spans WHERE {_IN} GROUP BY ALL")(lambda s, _: series.heatmap(select(s, [], START, END)))
 query("heatmap_matrix", f"SELECT 'duration_bucket=' || duration_bucket || ',duration_range=' || {_RANGE.replace('n ', '(1::BIGINT << duration_bucket) ')} || '-' || {_RANGE.replace('n ', '(1::BIGINT << (duration_bucket + 1)) ')} AS series, bucket1s AS time_ns, CAST(n AS DOUBLE) AS value FROM h", _HEAT)(_run("heatmap({})"))
-query("heatmap_grid", "SELECT duration_bucket, count(*) FILTER (name = 'click') AS click, count(*) FILTER (name = 'error') AS error FROM spans GROUP BY ALL")(lambda s, _: s.groupBy("duration_bucket").pivot("name", ["click", "error"]).count().na.fill(0))
+_DAYS10 = 10 * 24 * STEP
+_GRID = [START // _DAYS10 * _DAYS10 // scalar.SECOND + i * _DAYS10 // scalar.SECOND for i in range(4)]
+query("heatmap_grid", "SELECT duration_bucket, " + ", ".join(f"count(*) FILTER (start_time // {_DAYS10} * {_DAYS10 // scalar.SECOND} = {t}) AS t{t}" for t in _GRID) + " FROM spans GROUP BY ALL")(
+    lambda s, _: series.heatmap_grid(s, _DAYS10, [t * scalar.SECOND for t in _GRID])
+)
 for _p in (50, 95, 99):
     query(f"hq_p{_p}", f"""SELECT CAST(coalesce(CASE WHEN min(b) = 0 THEN 1 ELSE 3 * (1::BIGINT << (min(b) - 1)) END, 0) AS DOUBLE) AS value, CAST({END} AS BIGINT) AS time_ns
       FROM (SELECT CASE WHEN trunc(sum(n) OVER () * {_p / 100}) <= 0 THEN 0 WHEN sum(n) OVER (ORDER BY duration_bucket) >= trunc(sum(n) OVER () * {_p / 100}) THEN duration_bucket END AS b
@@ -173,20 +188,37 @@ query("trace_search", "SELECT trace_id, count(*) AS n FROM spans WHERE name = 'e
 query("trace_summary", """SELECT trace_id, min(start_time) AS start_time, max(end_time) AS end_time, (max(end_time) - min(start_time)) // 1000000 AS duration_ms, count(*) AS span_count,
   CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error_count, count(DISTINCT service_name) AS service_count, arg_min(service_name, start_time) AS root_service, arg_min(name, (start_time, span_id)) AS root_name FROM spans GROUP BY trace_id""")(lambda s, _: traces.summary(s))
 query("service_stats", "SELECT trace_id, service_name, count(*) AS span_count, CAST(count(status) AS BIGINT) AS error_count FROM spans GROUP BY ALL")(lambda s, _: traces.service_stats(s))
-query("search_metadata", "SELECT trace_id AS id, arg_min(name, (start_time, span_id)) AS root, CAST(count(*) AS INT) AS matched, string_agg(span_id, ',' ORDER BY start_time, span_id) AS ids FROM spans GROUP BY 1")(
-    lambda s, _: traces.search_metadata(s).select(F.col("traceID").alias("id"), F.col("rootTraceName").alias("root"), F.col("spanSets")[0]["matched"].alias("matched"), F.array_join(F.transform(F.col("spanSets")[0]["spans"], lambda x: x["spanID"]), ",").alias("ids"))
-)
-query("jaeger_spans", """SELECT trace_id, span_id, name AS operation, coalesce(parent_span_id, '') AS parent, start_time // 1000 AS start_us, duration // 1000 AS duration_us, 'p1' AS process,
-  concat_ws(';', 'k:' || CASE WHEN k IN ('0', '1') THEN 'bool' ELSE 'int64' END || ':' || k, 'span.kind:string:' || kind, 'status.code:string:' || status) AS tags FROM spans""")(
-    lambda s, _: traces.document_spans(s).select(F.col("traceID").alias("trace_id"), F.col("spanID").alias("span_id"), F.col("operationName").alias("operation"), F.coalesce(F.get("references", F.lit(0))["spanID"], F.lit("")).alias("parent"), F.col("startTime").alias("start_us"), F.col("duration").alias("duration_us"), F.col("processID").alias("process"), F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["key"], t["type"], t["value"])), ";").alias("tags"))
+_ATTRS = "concat_ws(';', 'host.id=' || host, 'k=' || k, 'service.name=' || service_name, 'span.kind=' || kind, 'status.code=' || status)"
+query("search_metadata", f"""SELECT trace_id AS id, arg_min(service_name, (start_time, span_id)) AS service, arg_min(name, (start_time, span_id)) AS root, CAST(min(start_time) AS VARCHAR) AS began, (max(end_time) - min(start_time)) // 1000000 AS ms, CAST(count(*) AS INT) AS matched,
+  string_agg(span_id || ' ' || name || ' ' || start_time || ' ' || (end_time - start_time) || ' ' || {_ATTRS}, ',' ORDER BY start_time, span_id) AS spans, arg_min(service_name, start_time) || ':' || count(*) || ':' || count(status) AS stats FROM spans GROUP BY trace_id""")(
+    lambda s, _: traces.search_metadata(s).select(
+        F.col("traceID").alias("id"), F.col("rootServiceName").alias("service"), F.col("rootTraceName").alias("root"), F.col("startTimeUnixNano").alias("began"), F.col("durationMs").alias("ms"), F.col("spanSets")[0]["matched"].alias("matched"),
+        F.array_join(F.transform(F.col("spanSets")[0]["spans"], lambda x: F.concat_ws(" ", x["spanID"], x["name"], x["startTimeUnixNano"], x["durationNanos"], F.array_join(F.transform(x["attributes"], lambda a: F.concat(a["key"], F.lit("="), a["value"]["stringValue"])), ";"))), ",").alias("spans"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("serviceStats")), lambda e: F.concat_ws(":", e["key"], e["value"]["spanCount"].cast("string"), e["value"]["errorCount"].cast("string"))), ";").alias("stats"),
+    )
 )
-query("jaeger_documents", "SELECT trace_id, CAST(count(*) AS INT) AS n_spans, 'p1:' || min(service_name) AS processes FROM spans GROUP BY 1")(
-    lambda s, _: traces.documents(s).select(F.col("traceID").alias("trace_id"), F.size("spans").alias("n_spans"), F.array_join(F.transform(F.array_sort(F.map_entries("processes")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["serviceName"])), ",").alias("processes"))
-)
-query("otlp_resource_spans", "SELECT service_name, CAST(count(*) AS INT) AS n, CAST(sum(CASE WHEN kind = 'server' THEN 1 ELSE 0 END) AS BIGINT) AS servers, CAST(sum(len(coalesce(parent_span_id, ''))) AS BIGINT) AS parents FROM spans GROUP BY 1")(
-    lambda s, _: traces.resource_spans(s).select("service_name", F.explode(F.col("scopeSpans")[0]["spans"]).alias("x")).groupBy("service_name").agg(F.count("*").cast("int").alias("n"), F.sum((F.col("x.kind") == 2).cast("long")).alias("servers"), F.sum(F.length("x.parentSpanId")).alias("parents"))
-)
-query("trace_detail", f"{_SELECT} WHERE trace_id = '00000000000000010000000000004d0a'")(lambda s, _: _plain(traces.detail(s, "10000000000004d0a")))
+_TYPED = "concat_ws(';', 'k:' || CASE WHEN k IN ('0', '1') THEN 'bool' ELSE 'int64' END || ':' || k, 'span.kind:string:' || kind, 'status.code:string:' || status)"
+_TAG_TEXT = lambda tags: F.array_join(F.transform(tags, lambda t: F.concat_ws(":", t["key"], t["type"], t["value"])), ";")
+query("jaeger_spans", f"""SELECT trace_id, span_id, name AS operation, coalesce('CHILD_OF ' || trace_id || ' ' || parent_span_id, '') AS parent, start_time // 1000 AS start_us, duration // 1000 AS duration_us, 'p1' AS process, 0 AS logs,
+  {_TYPED} AS tags, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS INT) AS seq FROM spans""")(
+    lambda s, _: traces.document_spans(s).select(F.col("traceID").alias("trace_id"), F.col("spanID").alias("span_id"), F.col("operationName").alias("operation"), F.array_join(F.transform("references", lambda r: F.concat_ws(" ", r["refType"], r["traceID"], r["spanID"])), ";").alias("parent"), F.col("startTime").alias("start_us"), F.col("duration").alias("duration_us"), F.col("processID").alias("process"), F.size("logs").alias("logs"), _TAG_TEXT(F.col("tags")).alias("tags"), "seq")
+)
+query("jaeger_documents", f"""SELECT trace_id, string_agg(span_id || ' ' || name || ' ' || {_TYPED}, ',' ORDER BY start_time, span_id) AS spans,
+  'p1:' || min(service_name) || ' ' || first(concat_ws(';', 'host.id:string:' || host, 'service.name:string:' || service_name) ORDER BY start_time, span_id) AS processes FROM spans GROUP BY 1""")(
+    lambda s, _: traces.documents(s).select(
+        F.col("traceID").alias("trace_id"), F.array_join(F.transform("spans", lambda x: F.concat_ws(" ", x["spanID"], x["operationName"], _TAG_TEXT(x["tags"]))), ",").alias("spans"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("processes")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["serviceName"], F.lit(" "), _TAG_TEXT(e["value"]["tags"]))), ",").alias("processes"),
+    )
+)
+query("otlp_resource_spans", f"""SELECT trace_id, service_name, first(concat_ws(';', 'host.id=' || host, 'service.name=' || service_name) ORDER BY start_time, span_id) AS resource,
+  string_agg(span_id || ' ' || coalesce(parent_span_id, '') || ' ' || name || ' ' || CASE kind WHEN 'server' THEN 2 ELSE 3 END || ' ' || start_time || ' ' || end_time || ' ' || concat_ws(';', 'k=' || k, 'span.kind=' || kind, 'status.code=' || status), ',' ORDER BY start_time, span_id) AS spans FROM spans GROUP BY ALL""")(
+    lambda s, _: traces.resource_spans(s).select(
+        "trace_id", "service_name", _PAIRS(F.col("resource.attributes")).alias("resource"),
+        F.array_join(F.transform(F.col("scopeSpans")[0]["spans"], lambda x: F.concat_ws(" ", x["spanId"], x["parentSpanId"], x["name"], x["kind"].cast("string"), x["startTimeUnixNano"], x["endTimeUnixNano"], _PAIRS(x["attributes"]))), ",").alias("spans"),
+    )
+)
+_PAIRS = lambda attrs: F.array_join(F.transform(attrs, lambda a: F.concat(a["key"], F.lit("="), a["value"]["stringValue"])), ";")
+query("trace_detail", f"{_SELECT} WHERE trace_id = {TRACE_SQL}")(lambda s, _: _plain(traces.detail(s, trace_of(s))))
 query("typed_tags", "SELECT 'k' AS key, CASE WHEN k IN ('0', '1') THEN 'bool' ELSE 'int64' END AS type, count(*) AS n FROM spans WHERE k IS NOT NULL GROUP BY ALL UNION ALL SELECT 'span.kind', 'string', count(*) FROM spans UNION ALL SELECT 'status.code', 'string', count(status) FROM spans UNION ALL SELECT 'service.name', 'string', count(*) FROM spans UNION ALL SELECT 'host.id', 'string', count(host) FROM spans")(
     lambda s, _: lookups.attributes(s).groupBy("key", scalar.typed_tag_type(F.col("value")).alias("type")).agg(F.count("*").alias("n"))
 )
@@ -195,10 +227,10 @@ query("resource_tags", "SELECT 'service.name' AS key, service_name AS value, cou
 )
 query("root_spans", f"{_SELECT} WHERE parent_span_id IS NULL")(lambda s, _: _plain(traces.roots(s)))
 query("orphans", f"{_SELECT} s WHERE name <> 'click' AND parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id AND p.name <> 'click')")(lambda s, _: _plain(traces.orphans(s.where("name <> 'click'"))))
-query("trace_tree_depth", "SELECT trace_id, span_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS INT) AS depth, first_value(span_id) OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS root_span_id FROM spans")(lambda s, _: traces.tree(s).select("trace_id", "span_id", "depth", "root_span_id"))
-query("trace_tree_flat", "SELECT span_id, CAST(row_number() OVER (ORDER BY start_time, span_id) - 1 AS INT) AS depth FROM spans WHERE trace_id = '00000000000000010000000000004d0a'")(lambda s, _: traces.flattened(s, "10000000000004d0a").select("span_id", "depth"))
+query("trace_tree_depth", "SELECT trace_id, span_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS INT) AS depth, first_value(span_id) OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS root_span_id, CAST(1 AS INT) AS sibling FROM spans")(lambda s, _: traces.tree(s).select("trace_id", "span_id", "depth", "root_span_id", "sibling"))
+query("trace_tree_flat", f"SELECT span_id, CAST(row_number() OVER (ORDER BY start_time, span_id) - 1 AS INT) AS depth FROM spans WHERE trace_id = {TRACE_SQL}")(lambda s, _: traces.flattened(s, trace_of(s)).select("span_id", "depth"))
 query("self_join_parent", "SELECT c.span_id, p.name AS parent_name, c.start_time - p.start_time AS gap FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id")(
-    lambda s, _: s.alias("c").join(s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("name").alias("parent_name"), F.col("start_time").alias("p_start")), ["trace_id", "parent_span_id"]).select("span_id", "parent_name", (F.col("start_time") - F.col("p_start")).alias("gap"))
+    lambda s, _: traces.with_parent(s).select("span_id", "parent_name", (F.col("start_time") - F.col("parent_start_time")).alias("gap"))
 )
 
 # ---------------------------------------------------------------- discovery
@@ -220,7 +252,7 @@ query("merged_attributes", "SELECT span_id, concat_ws(',', 'extra=' || name, 'ho
 
 query("spans_with_links", "SELECT s.span_id, coalesce(l.linked_span_id, '') AS linked, CASE WHEN l.span_id IS NULL THEN 0 ELSE 1 END::INT AS n FROM spans s LEFT JOIN links l USING (span_id)")(lambda s, k: lookups.with_links(s, k).select("span_id", F.coalesce(F.get("links", F.lit(0))["linked_span_id"], F.lit("")).alias("linked"), F.size("links").alias("n")))
 query("link_targets", "SELECT l.span_id, t.span_id AS linked_span_id, t.name AS target_name, t.service_name AS target_service FROM links l JOIN spans t ON t.trace_id = l.linked_trace_id AND t.span_id = l.linked_span_id")(lambda s, k: lookups.link_targets(s, k).select("span_id", "linked_span_id", "target_name", "target_service"))
-query("trace_links", "SELECT l.span_id, linked_span_id FROM links l JOIN spans s USING (span_id) WHERE s.trace_id = '00000000000000010000000000004d0a'")(lambda s, k: lookups.trace_links(s, k, "10000000000004d0a").select("span_id", "linked_span_id"))
+query("trace_links", "SELECT l.span_id, linked_span_id FROM links l JOIN spans s USING (span_id) WHERE s.trace_id = (SELECT trace_id FROM spans WHERE span_id = (SELECT min(span_id) FROM links))")(lambda s, k: lookups.trace_links(s, k, trace_of(s, k.agg(F.min("span_id")).first()[0])).select("span_id", "linked_span_id"))
 query("link_service_graph", "SELECT s.service_name AS source, t.service_name AS target, count(*) AS n FROM links l JOIN spans s USING (span_id) JOIN spans t ON t.span_id = l.linked_span_id AND t.trace_id = l.linked_trace_id GROUP BY ALL")(
     lambda s, k: lookups.link_targets(s, k).join(s.select("span_id", "service_name"), "span_id").groupBy(F.col("service_name").alias("source"), F.col("target_service").alias("target")).agg(F.count("*").alias("n"))
 )
@@ -263,15 +295,15 @@ sql_query("sql_filter_agg", "SELECT name, count(*) FILTER (WHERE duration > 5000
 sql_query("sql_cte", "SELECT service_name, max(n) AS most FROM (WITH c AS (SELECT service_name, trace_id, count(*) AS n FROM spans GROUP BY service_name, trace_id) SELECT * FROM c) GROUP BY service_name")
 sql_query("sql_tags", "SELECT tags['host.id'] AS host, count(*) AS n FROM spans WHERE tags['status.code'] = 'error' GROUP BY tags['host.id']", "SELECT host, count(*) AS n FROM spans WHERE status = 'error' GROUP BY host")
 sql_query("sql_strings", "SELECT DISTINCT upper(name) AS u, length(name) AS n, substr(name, 1, 2) AS p, concat(name, '!') AS c, replace(name, 'e', '3') AS r FROM spans", "SELECT DISTINCT upper(name) AS u, CAST(length(name) AS INT) AS n, substr(name, 1, 2) AS p, concat(name, '!') AS c, replace(name, 'e', '3') AS r FROM spans")
-query("sql_asof", "SELECT e.span_id, c.span_id AS click_id FROM (SELECT * FROM spans WHERE name = 'error') e ASOF JOIN (SELECT * FROM spans WHERE name = 'click') c ON e.service_name = c.service_name AND e.start_time >= c.start_time")(lambda s, _: asof(s.where("name = 'error'"), s.where("name = 'click'")))
-
-
-def asof(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each left span with the last right span of its service that starts no later: one union and one window, no range join."""
-    both = left.select("service_name", "start_time", "span_id", F.lit(1).alias("side")).union(right.select("service_name", "start_time", "span_id", F.lit(0)))
-    w = W.partitionBy("service_name").orderBy("start_time", "side", "span_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = both.withColumn("click_id", F.last(F.when(F.col("side") == 0, F.col("span_id")), ignorenulls=True).over(w))
-    return d.where("side = 1 and click_id is not null").select("span_id", "click_id")
+query("sql_asof", "SELECT e.span_id, c.span_id AS click_id FROM (SELECT * FROM spans WHERE name = 'error') e ASOF LEFT JOIN (SELECT * FROM spans WHERE name = 'click') c ON e.service_name = c.service_name AND e.start_time >= c.start_time")(
+    lambda s, _: joins.asof(s.where("name = 'error'").select("service_name", "start_time", "span_id"), s.where("name = 'click'"), ["service_name"], "span_id", "click_id").select("span_id", "click_id")
+)
+query("sql_theta", "SELECT v.span_id, count(*) AS n FROM (SELECT * FROM spans WHERE name = 'view') v JOIN (SELECT * FROM spans WHERE name = 'click') c ON v.start_time BETWEEN c.start_time AND c.start_time + 5400000000000 GROUP BY ALL")(
+    lambda s, _: joins.during(s.where("name = 'view'"), s.where("name = 'click'").withColumn("upto", F.col("start_time") + 5_400_000_000_000), end="upto").groupBy(F.col("p.span_id").alias("span_id")).agg(F.count("*").alias("n"))
+)
+sql_query("sql_lateral", "SELECT v.service_name, t.span_id FROM (SELECT DISTINCT service_name FROM spans) v, LATERAL (SELECT span_id FROM spans s WHERE s.service_name = v.service_name ORDER BY duration DESC, span_id LIMIT 2) t")
+sql_query("sql_setops_all", "(SELECT name, service_name FROM spans UNION ALL SELECT name, service_name FROM spans WHERE duration > 100000000) EXCEPT ALL SELECT name, service_name FROM spans WHERE duration > 50000000")
+sql_query("sql_intersect_all", "SELECT name, service_name FROM spans INTERSECT ALL SELECT name, service_name FROM spans WHERE duration > 50000000")
 
 
 # ---------------------------------------------------------------- manifests
@@ -318,9 +350,13 @@ UNION ALL SELECT 'item-' || l_returnflag, 'item', count(*), count(DISTINCT l_ord
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_surface  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_surface  # noqa: F401
+
     return dict(_SQL)
 

@@ -73,3 +73,41 @@ def test_regexes_refused(bad):
 
 def test_regex_dialect():
     assert java_regex("(?P<n>a)") == r"(?d)\A(?:(?<n>a))\z"
+
+
+ACCEPTED = {
+    r"[[:alpha:]]+": (["abc"], ["a1", "[:a"]), r"[[:^digit:]x]": (["a", "x"], ["1"]), r"[a&&b]+": (["a&b"], ["c"]), r"\pL\p{Lu}\PN": (["aBc"], ["ab1", "1Ab"]), r"\p{Greek}+": (["αβ"], ["ab"]), r"\p{^L}": (["1"], ["a"]),
+    r"\Qa.b\E+": (["a.b", "a.bb"], ["axb"]), r"a\z": (["a"], ["a\n"]), r"a$": (["a"], ["a\n"]), r"(?m)a$\nb": (["a\nb"], ["ab"]), r"x{,2}": (["x{,2}"], ["xx"]), r"[]a]+": (["]a"], ["b"]), r"[^]a]": (["b"], ["]"]),
+    r"[a-]+": (["a-"], ["b"]), r"(?i)É": (["é", "É"], ["e"]), r"(?U)a+": (["aa"], [""]), r"(?s).": (["\n"], [""]), r".": (["\r"], ["\n"]), r"a|b|": (["", "a"], ["c"]), r"\x41\x{1F600}\101": (["A\U0001F600A"], ["A"]),
+    r"\v": (["\x0b"], ["\n"]), r"\s": ([" "], ["\x0b"]), r"[\S]": (["\x0b"], [" "]), r"[[]": (["["], ["a"]), r"(?P<a_b>x)y": (["xy"], ["x"]), r"\bé\b": ([], ["é"]), r"[\d-]+": (["1-2"], ["a"]), r"\-\_": (["-_"], ["-"]), r"(?i:a)b": (["Ab"], ["AB"]),
+}
+
+
+def test_regexes_mean_what_they_say(spark):
+    rows = [(p, t, want) for p, (yes, no) in ACCEPTED.items() for want, texts in ((True, yes), (False, no)) for t in texts]
+    from pyspark.sql import functions as F
+
+    for p, t, want in rows:
+        got = spark.range(1).select(F.lit(t).rlike(java_regex(p))).first()[0]
+        assert got == want, (p, t)
+
+
+@pytest.mark.parametrize("bad", ["a++", "a**", "a{2}{3}", "*a", "(*a)", "a|*", r"\Z", r"\e", r"[a-\d]", "[z-a]", "(?x)a", "a)", "\\", "a{1001}", "[[:foo:]]", "(?P<a>x)(?P<a>y)", "(?>a)", "(?)"])
+def test_more_regexes_refused(bad):
+    with pytest.raises(ValueError):
+        java_regex(bad)
+
+
+def test_strings_and_extensions():
+    assert L.tokens(r'"\a\x41\101\u00e9\U0001F600\"\\"') == [("string", '\aAA\u00e9\U0001F600"\\')]
+    for bad in (r'"\q"', r'"\x4"', r'"\ud800"', r'"\8"', "\"\\'\""):
+        with pytest.raises(L.LanguageError):
+            L.tokens(bad)
+    with pytest.raises(ValueError):
+        L.register("rate", None)
+    L.register("everything", lambda planner, args: planner.plan(args[0]), "vector")
+    try:
+        node = L.parse("sum(everything({}))")
+        assert node.arg == L.Call("everything", (L.Selector(),)) and L.result_type(node) == "vector" and L.parse("everything{}").metric == "everything"
+    finally:
+        del L.EXTENSIONS["everything"]
