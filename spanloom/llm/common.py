@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only in local mode where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spanloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -46,6 +49,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Of a table of numbers (links, labels) so many partitions go into one file.
+NARROW = 32
+
+
+def narrow(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """A table of few bytes a row in NARROW times fewer partitions than the session has; with ``heavy``, what makes the rows keeps all its tasks."""
+    k = parts_for(df.sparkSession, 1 / NARROW)
+    return df.repartition(k) if heavy else df.coalesce(k)
+
+
 def saved(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a
     lost executor costs only the tasks that ran on it.  Returns the table and its path."""

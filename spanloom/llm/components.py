@@ -16,22 +16,23 @@ def components(edges: DataFrame) -> DataFrame:
     of the shared folder; the driver only sees how many edges are left.
     """
     spark = edges.sparkSession
-    e, e_path = common.saved(_ordered(edges), "edges")
+    e, e_path = common.saved(common.narrow(_ordered(edges)), "edges")
     label, label_path = None, None
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent, parent_path = common.saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
+        parent = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
         if label is None:
-            label, label_path = parent, parent_path
+            label, label_path = common.saved(common.narrow(parent), "labels")
         else:
             step = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            moved, path = common.saved(label.join(step, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "labels")
+            moved, path = common.saved(common.narrow(label.join(step, "p", "left").select("v", F.coalesce("q", "p").alias("p"))), "labels")
             common.drop(spark, label_path)
             label, label_path = moved, path
         up = e.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        left, path = common.saved(_ordered(up.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
-        common.drop(spark, e_path, *([parent_path] if parent_path != label_path else []))
+        left, path = common.saved(common.narrow(_ordered(up.select(F.col("pa").alias("a"), F.col("pb").alias("b")))), "edges")
+        common.drop(spark, e_path)
         e, e_path = left, path
+    common.drop(spark, e_path)
     if label is None:
         return spark.createDataFrame([], "v long, comp long")
     return label.select("v", F.col("p").alias("comp"))

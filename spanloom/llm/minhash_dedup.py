@@ -16,12 +16,13 @@ Round 1 links each class to the smallest id it shares a key with, takes the near
 it on the full shingle sets.  Round 2 looks only at keys that classes of *different* components share, compares their
 signatures inside the task of the key and confirms every pair within the distance.  So a group of thousands of near copies
 gives one link for each member, while no link between components is lost.  A map task sends one id for each key it
-holds; a key shared by very many different texts is split once more by the keys of the other chunks
-(two signatures within MAX_DISTANCE share keys of at least two chunks).
+holds; a key shared by very many different texts is split once more by the keys of the other chunks, over as many tasks
+(two signatures within MAX_DISTANCE share keys of at least two chunks).  A class's sketch goes to a task once, however many keys it has there.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle are one
 shingle; rows of one id are one document (its texts' links are all its own); a null id is linked with nothing and kept;
-very long texts are worked through as one array; extra columns are ignored.
+very long texts are worked through as one array; of classes that are equally near the smallest id is taken; extra columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -233,8 +234,14 @@ def near_links(links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "sa", "sb", "la", "lb", "na", "nb").mapInArrow(run, "a long, b long, dist long")
 
 
-def foreign_links(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, dist) within MAX_DISTANCE that share a key and are of different components (column comp)."""
+#: What is known of a class where its keys meet, and a key it brings there: the class by its place among those of the sender.
+_SKETCH = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i8"), ("sig", "<u2", SYMBOLS), ("low", "<u4", LOWEST)])
+_ENTRY = np.dtype([("key", "<u8"), ("at", "<u4"), ("slot", "u1")])
+
+
+def foreign_links(reps: DataFrame, percent: int, large: int = LARGE_KEY) -> DataFrame:
+    """(a, b, dist) within MAX_DISTANCE that share a key and are of different components (column comp).  Keys that more than ``large``
+    entries share are sent with each key of the other chunks, so their classes meet in as many tasks."""
     spark = reps.sparkSession
     n = common.parts_for(spark)
     dealt = reps.select(F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int").alias("bucket"), "id", "n", "comp", "sig", "low").repartition(n, "bucket")
@@ -262,66 +269,78 @@ def foreign_links(reps: DataFrame, percent: int) -> DataFrame:
         k, c = np.frombuffer(b"".join(blobs), np.uint64), np.frombuffer(b"".join(rows.column("c").to_pylist()), np.int64)
         order = np.argsort(k, kind="stable")
         at = np.flatnonzero(np.r_[True, k[order][1:] != k[order][:-1]]) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[at, len(k)])
         low, high = np.minimum.reduceat(c[order], at), np.maximum.reduceat(c[order], at)
-        found = np.empty(len(k), bool)
-        found[order] = np.repeat(low != high, np.diff(np.r_[at, len(k)]))
+        found, many = np.empty(len(k), bool), np.empty(len(k), bool)
+        found[order] = np.repeat(low != high, size)
+        many[order] = np.repeat(size > large, size)
         sizes = np.asarray([len(b) // 8 for b in blobs])
         ends = np.cumsum(sizes)
-        return pa.table([rows.column("bucket"), rows.column("target"), pa.array([np.packbits(found[e - m : e]).tobytes() for e, m in zip(ends, sizes, strict=True)], pa.binary())], names=["bucket", "target", "bits"])
-
-    record = np.dtype([("key", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<i8"), ("slot", "<i4"), ("sig", "<u2", SYMBOLS), ("low", "<u4", LOWEST)])
+        packed = [pa.array([np.packbits(x[e - m : e]).tobytes() for e, m in zip(ends, sizes, strict=True)], pa.binary()) for x in (found, many)]
+        return pa.table([rows.column("bucket"), rows.column("target"), *packed], names=["bucket", "target", "bits", "large"])
 
     def send(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         keys, k, _, edges, which = entries(rows)
-        found = np.zeros(len(k), bool)
-        for t, bits in zip(told.column("target").to_pylist(), told.column("bits").to_pylist(), strict=True):
-            found[edges[t] : edges[t + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edges[t + 1] - edges[t]).astype(bool)
-        row, slot = np.nonzero(found[which].reshape(keys.shape))
-        sigs, out = _sigs(rows.column("sig")), np.zeros(len(row), record)
-        out["key"], out["slot"], out["sig"], out["low"] = keys[row, slot], slot, sigs[row], _padded(rows.column("low"))[row]
+        found, many = np.zeros(len(k), bool), np.zeros(len(k), bool)
+        for t, *bits in zip(*(told.column(c).to_pylist() for c in ("target", "bits", "large")), strict=True):
+            for x, b in zip((found, many), bits, strict=True):
+                x[edges[t] : edges[t + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=edges[t + 1] - edges[t]).astype(bool)
+        found, many = (x[which].reshape(keys.shape) for x in (found, many))
+        row, slot = np.nonzero(found & ~many)
+        sent = [_entries(keys[row, slot], row, slot)]
+        row, slot = np.nonzero(found & many)
+        for other in range(keys.shape[1]):  # a pair within the distance shares keys of two chunks
+            of = np.flatnonzero(slot // 4 != other // 4)
+            sent.append(_entries(mixed(keys[row[of], slot[of]] ^ (keys[row[of], other] << np.uint64(1))), row[of], slot[of]))
+        every = np.concatenate(sent)
+        every = every[np.argsort(every["key"], kind="stable")]
+        cut = _by_target(every["key"], n)
+        sketch = np.zeros(len(rows), _SKETCH)
+        sketch["sig"], sketch["low"] = _sigs(rows.column("sig")), _padded(rows.column("low"))
         for name in ("id", "comp", "n"):
-            out[name] = np.asarray(rows.column(name))[row]
-        out = out[np.argsort(out["key"], kind="stable")]
-        cut = _by_target(out["key"], n)
-        full = [t for t in range(n) if cut[t] < cut[t + 1]]
-        return pa.table([pa.array(full, pa.int32()), pa.array([out[cut[t] : cut[t + 1]].tobytes() for t in full], pa.binary())], names=["target", "rows"])
+            sketch[name] = np.asarray(rows.column(name))
+        full, packed = [t for t in range(n) if cut[t] < cut[t + 1]], ([], [])
+        for t in full:  # a class goes to a target once, however many keys it has there
+            own = every[cut[t] : cut[t + 1]]
+            present, own["at"] = np.unique(own["at"], return_inverse=True)
+            packed[0].append(own.tobytes())
+            packed[1].append(sketch[present].tobytes())
+        return pa.table([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["target", "keys", "sketches"])
 
     def compare(rows: pa.Table) -> pa.Table:
-        every = np.frombuffer(b"".join(rows.column("rows").to_pylist()), record)
+        parts = [np.frombuffer(x.as_buffer(), _SKETCH) for x in rows.column("sketches")]
+        keys = [np.frombuffer(x.as_buffer(), _ENTRY).copy() for x in rows.column("keys")]
+        base = 0
+        for part, own in zip(parts, keys, strict=True):
+            own["at"] += base
+            base += len(part)
+        sketch, every = np.concatenate(parts), np.concatenate(keys)
         every = every[np.argsort(every["key"], kind="stable")]
         at = np.flatnonzero(np.r_[True, every["key"][1:] != every["key"][:-1]]) if len(every) else np.zeros(0, np.int64)
-        found = [near_pairs(every[a:b], percent) for a, b in zip(at, np.r_[at[1:], len(every)], strict=True)]
+        found = [near_pairs(sketch, every["at"][a:b], int(every["slot"][a]), percent) for a, b in zip(at, np.r_[at[1:], len(every)], strict=True)]
         pairs = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
         return pa.table([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "dist"])
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, "target int, bucket int, k binary, c binary")
-    told = asked.groupBy("target").applyInArrow(reply, "bucket int, target int, bits binary")
-    sent = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send, "target int, rows binary")
+    told = asked.groupBy("target").applyInArrow(reply, "bucket int, target int, bits binary, large binary")
+    sent = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send, "target int, keys binary, sketches binary")
     return sent.groupBy("target").applyInArrow(compare, "a long, b long, dist long").distinct()
 
 
-def near_pairs(g: np.ndarray, percent: int) -> np.ndarray:
-    """(a, b, dist) of a key's rows of different components within MAX_DISTANCE."""
-    if len(g) > LARGE_KEY:
-        keys = keys_of(g["sig"])
-        keys[:, g["slot"][0] // 4 * 4 : g["slot"][0] // 4 * 4 + 4] = 0
-        row = np.repeat(np.arange(len(g)), keys.shape[1])
-        order = np.argsort(keys.ravel(), kind="stable")
-        k, row = keys.ravel()[order], row[order]
-        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        parts = [_compared(g[row[a:b]], percent) for a, b in zip(at, np.r_[at[1:], len(k)], strict=True) if b - a > 1 and k[a]]
-        return np.unique(np.concatenate([np.zeros((0, 3), np.int64), *parts]), axis=0)
-    return _compared(g, percent)
-
-
-def _compared(g: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of different components within the distance that may be similar enough; a pair that shares several keys is
-    taken at the first of them only."""
-    out, slot = [], g["slot"][0]
-    for x in range(0, len(g), 256):
-        a = g[x : x + 256]
-        for y in range(x, len(g), 1024):
-            b = g[y : y + 1024]
+def _entries(keys: np.ndarray, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(keys), _ENTRY)
+    out["key"], out["at"], out["slot"] = keys, row, slot
+    return out
+
+
+def near_pairs(sketch: np.ndarray, at: np.ndarray, slot: int, percent: int) -> np.ndarray:
+    """(a, b, dist) of the classes ``at``, which share the key of a slot: those of different components within the distance that may be similar
+    enough; a pair that shares several keys is taken at the first of them only."""
+    out = []
+    for x in range(0, len(at), 256):
+        a = sketch[at[x : x + 256]]
+        for y in range(x, len(at), 1024):
+            b = sketch[at[y : y + 1024]]
             ok = (a["comp"][:, None] != b["comp"][None, :]) & (100 * np.minimum(a["n"][:, None], b["n"][None, :]) >= percent * np.maximum(a["n"][:, None], b["n"][None, :]))
             if y < x + 256:
                 ok &= np.arange(x, x + len(a))[:, None] < np.arange(y, y + len(b))[None, :]
@@ -364,10 +383,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
         common.trim()
 
-    ids, _ = common.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= common.MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    few = 2 * pairs.count() <= common.MAX_BROADCAST_IDS  # else the texts are shuffled to their ids
     found = _texts(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
-    found, _ = common.saved(found, "shingle-sets", compression="none")
+    # both sides read one exchange of the sets
     x, y = (found.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
 
@@ -398,28 +417,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spread = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top")
     spread = member.join(spread, "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
 
-    near, _ = common.saved(near_links(star_links(reps), reps, percent), "near-links")
-    links, comp = spread, components(spread)
-    tested = None
+    links, comp, tested, paths = spread, components(spread), None, []
     for source in ("stars", "foreign"):
-        if source == "foreign":
+        if source == "stars":
+            near = near_links(star_links(reps), reps, percent)
+        else:
             others = reps.join(comp, reps.id == comp.v, "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "sig", "low")
-            others, _ = common.saved(others, "class-components")
-            near, _ = common.saved(foreign_links(others, percent).join(tested, ["a", "b"], "left_anti"), "near-links")
-        for turn in range(4):
+            near = foreign_links(others, percent)
+            near = near if tested is None else near.join(tested, ["a", "b"], "left_anti")
+        near, path = common.saved(common.narrow(near, heavy=True), "near-links")
+        paths.append(path)
+        for turn in range(3):
             # some turns take one link of each class only, since one confirmed link joins whole components; then all that is left
-            near, _ = common.saved(_crossing(near, comp), "near-links")
-            if turn:
-                near = near.join(todo, ["a", "b"], "left_anti")
-            todo, _ = common.saved(_best(near) if turn < 3 else near.select("a", "b"), "todo")
-            tested = todo if tested is None else tested.union(todo)
+            open_links = _crossing(near, comp)
+            open_links = open_links if tested is None else open_links.join(tested, ["a", "b"], "left_anti")
+            todo, path = common.saved(common.narrow(_best(open_links) if turn < 2 else open_links.select("a", "b")), "todo")
+            paths.append(path)
             if todo.isEmpty():
                 break
-            new, _ = common.saved(confirmed(todo, docs, size, percent, id_col, text_col), "links")
+            tested = todo if tested is None else tested.union(todo)
+            new, path = common.saved(common.narrow(confirmed(todo, docs, size, percent, id_col, text_col), heavy=True), "links")
+            paths.append(path)
             if not new.isEmpty():
-                links, _ = common.saved(links.union(new), "links")
-                comp, _ = common.saved(components(links), "components")
+                links = links.union(new)
+                comp = components(links)
     own = sk.join(reps.select("fp1", "fp2", F.col("n").alias("n_shingles"), "id"), ["fp1", "fp2", "n_shingles"], "left")
+    common.drop(docs.sparkSession, *paths)  # what is left to compute reads sketches, classes and labels only
     own = own.join(comp, own.id == comp.v, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -286,7 +286,7 @@ def test_deduplicated_keeps_one_of_each(corpus, plain):
     assert left.columns == corpus.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(want)
 
 
-def test_pairs_within_a_key():
+def test_pairs_within_a_key(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, minhash_dedup.SYMBOLS, dtype=np.uint16)
     rows = []
@@ -295,22 +295,23 @@ def test_pairs_within_a_key():
         at = rng.choice(minhash_dedup.SYMBOLS, int(rng.integers(0, 24)), replace=False)
         s[at] = rng.integers(0, 1 << 16, len(at))
         rows.append(s)
-    sigs = np.stack(rows)
+    sigs, low = np.stack(rows), np.arange(100, dtype="<u4")
     keys = minhash_dedup.keys_of(sigs)
-    record = np.dtype([("key", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<i8"), ("slot", "<i4"), ("sig", "<u2", minhash_dedup.SYMBOLS), ("low", "<u4", minhash_dedup.LOWEST)])
-    low = np.full(minhash_dedup.LOWEST, minhash_dedup._PAD, np.uint32)
-    low[:100] = np.arange(100)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (sigs[i] != sigs[j]).sum() <= minhash_dedup.MAX_DISTANCE}
+    want = {(i, j): int((sigs[i] != sigs[j]).sum()) for i in range(60) for j in range(i + 1, 60) if (sigs[i] != sigs[j]).sum() <= minhash_dedup.MAX_DISTANCE}
+    sketch = np.zeros(60, minhash_dedup._SKETCH)
+    sketch["id"] = sketch["comp"] = np.arange(60)
+    sketch["n"], sketch["sig"], sketch["low"] = 100, sigs, minhash_dedup._PAD
+    sketch["low"][:, :100] = low
+    found = {}
+    for slot in range(keys.shape[1]):
+        for k in np.unique(keys[:, slot]):
+            found |= {(int(a), int(b)): int(d) for a, b, d in minhash_dedup.near_pairs(sketch, np.flatnonzero(keys[:, slot] == k), slot, 80)}
+    assert found == want
+    reps = spark.createDataFrame([(i, 100, i, bytearray(sigs[i].astype("<u2").tobytes()), bytearray(low.tobytes())) for i in range(60)], "id long, n long, comp long, sig binary, low binary")
     for large in (minhash_dedup.LARGE_KEY, 3):  # whole, and split by the keys of other chunks
-        found, old, minhash_dedup.LARGE_KEY = set(), minhash_dedup.LARGE_KEY, large
-        for slot in range(keys.shape[1]):
-            for k in np.unique(keys[:, slot]):
-                own = np.flatnonzero(keys[:, slot] == k)
-                g = np.zeros(len(own), record)
-                g["id"], g["comp"], g["n"], g["slot"], g["sig"], g["low"], g["key"] = own, own, 100, slot, sigs[own], low, k
-                found |= {(int(a), int(b)) for a, b, _ in minhash_dedup.near_pairs(g, 80)}
-        minhash_dedup.LARGE_KEY = old
-        assert found == want
+        assert {(r.a, r.b): r.dist for r in minhash_dedup.foreign_links(reps, 80, large).collect()} == want
+    one = minhash_dedup.foreign_links(reps.withColumn("comp", F.col("id") % 2), 80, 3)
+    assert {(r.a, r.b) for r in one.collect()} == {(a, b) for a, b in want if a % 2 != b % 2}
 
 
 def test_sketch_bounds_the_similarity():
