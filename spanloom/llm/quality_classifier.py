@@ -2,17 +2,17 @@
 
 Two zstandard dictionaries of equal size are built from good and from bad labelled texts.  A text is
 compressed whole with each; ``(bad size - good size) / (bad size + good size)`` says which corpus it
-resembles.  A logistic curve fitted on labelled texts that are in neither dictionary turns the
-difference into a probability.
+resembles, and is all that a score knows of a text.  A logistic curve fitted on labelled texts that are in neither dictionary turns the
+difference into a probability, for as many good as bad texts as the sample has (half each, where the labels allow it).
 
 Fitting reads a bounded sample: per class the ``max_rows`` labelled rows with the smallest hash of their id, of
-those with texts of at most ``max_chars`` characters.  Scoring reads every text whole; labels, language, source and id are
-never inputs of a score.
+those with texts of at most ``max_chars`` characters, so the driver holds 2 * MAX_ROWS * MAX_CHARS characters (49 million) at most.  Scoring reads every
+text whole; labels, language, source and id are never inputs of a score.
 
-Defined cases: null and empty texts are scored as empty (difference 0); a text without labels is just
-scored; null labels are not learned from; if a class has no training row, every score is the share of
-good labels (0.5 without labels); repeated rows are scored each; a text of any length is streamed
-through the compressor in memory of its own size.
+Defined cases: null and empty texts are scored as empty (difference 0), and a null text is not learned from; a text without labels is just
+scored; null labels are not learned from, of several labels of one id the smallest holds; if a class has no training row, every score is the share of
+good labels (0.5 without labels); repeated rows are scored each, equal texts alike; ties of the sample's order are broken by id; an empty table gives no rows; a text of any
+length is compressed in memory of its own size; other columns pass through, a column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -33,14 +33,14 @@ from . import common
 LEVEL = 3
 DICT_BYTES = 1 << 16
 MAX_ROWS = 1500
-MAX_CHARS = 1 << 16
+MAX_CHARS = 1 << 14
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # of 1, difference, log size, difference * log size
+    weights: tuple[float, ...]  # of 1 and the difference
 
     def scorer(self):
         if not self.good:
@@ -66,8 +66,7 @@ def _sizer(content: bytes):
 def _features(text: str, good, bad) -> np.ndarray:
     raw = text.encode("utf-8", "surrogatepass")
     g, b = good(raw), bad(raw)
-    x, size = (b - g) / (b + g), math.log1p(len(raw)) / 10
-    return np.asarray([1.0, 10 * x, size, 10 * x * size])
+    return np.asarray([1.0, 10 * (b - g) / (b + g)])
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -129,14 +128,16 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "s
     """All columns of ``docs`` and a double column ``into``; one row out for each row in.  The model
     (two dictionaries of DICT_BYTES each) travels with the task."""
     wanted = [c for c in docs.columns if c != into]
-    out = docs.select(wanted).withColumn("__score_text", F.col(text_col).cast("string"))
+    own = text_col in wanted and isinstance(docs.schema[text_col].dataType, T.StringType)  # then the text is sent once
+    out = docs.select(wanted) if own else docs.select(*wanted, F.col(text_col).cast("string").alias("__score_text"))
+    at = wanted.index(text_col) if own else len(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):  # whole texts go back too: a few at a time
                 b = batch.slice(k, 500)
-                got = pa.array([score(t.as_py() or "") for t in b.column(len(wanted))], pa.float64())
+                got = pa.array([score(t.as_py() or "") for t in b.column(at)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(wanted)], got], names=[*wanted, into])
         common.trim()
 

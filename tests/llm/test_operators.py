@@ -375,10 +375,10 @@ def test_codes():
 def test_quality_rules(spark, corpus, plain, empty):
     got = quality_rules.judge(corpus, max_docs=3).collect()
     lines, texts = collections.defaultdict(set), []
-    for _, t, s in plain:
+    for d, t, s in plain:
         for x in (t or "").split("\n"):
             if WORD.search(x):
-                lines[(s, x.strip(" ").lower())].add(t)
+                lines[(s, x.strip(" \t\n\v\f\r").lower())].add(d)
     for d, t, s in plain:
         t = t or ""
         w, own = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
@@ -387,12 +387,32 @@ def test_quality_rules(spark, corpus, plain, empty):
             grams[tuple(w[i : i + 3])].append(i)
         covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        gone = sum(len(WORD.findall(x)) for x in own if len(lines[(s, x.strip(" ").lower())]) > 3)
+        gone = sum(len(WORD.findall(x)) for x in own if len(lines[(s, x.strip(" \t\n\v\f\r").lower())]) > 3)
         texts.append((d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(own) - len(set(own)), len(covered), failed, gone, not failed and len(w) - gone >= 0.5 * len(w)))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, texts))
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_lines_count_documents(spark):
+    rows = [(i, "same line  \r\nof all\n" + f"own {i}", "h") for i in range(4)] * 2 + [(i, "Same line\nelse", "g") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.n_docs for r in quality_rules.frequent_lines(docs, 3).collect()) == [4, 4]
+    got = {(r.doc_id, r.n_words): r.n_removed_words for r in quality_rules.judge(docs, 3).collect()}
+    assert got == {**{(i, 6): 4 for i in range(4)}, **{(i, 3): 0 for i in range(3)}}
+    old, quality_rules.MAX_BROADCAST_LINES = quality_rules.MAX_BROADCAST_LINES, 0
+    try:
+        assert quality_rules.judge(docs, 3).agg(F.sum("n_removed_words")).first()[0] == 32  # the way without broadcast
+    finally:
+        quality_rules.MAX_BROADCAST_LINES = old
+
+
+def test_repeats_in_a_very_long_text(spark):
+    w = [f"w{i}" for i in range(300_000)]
+    w[200_000:200_004] = w[100:104]
+    d = spark.createDataFrame([(1, " ".join(w), "s")], "doc_id long, text string, source string")
+    assert quality_rules.base_rules(d).select("n_words", "n_repeat_words").first()[:] == (300_000, 8)
+
+
 # ---------------------------------------------------------------- 10 html
 
 
