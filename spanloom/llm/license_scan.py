@@ -1,15 +1,17 @@
 r"""License scan by conditional compression.
 
-Candidate blocks are the words around licence cues, as many on both sides as a notice can have, so a notice may be wrapped anywhere.  Each block is compressed alone and with each template as raw
-zstandard dictionary; templates are ranked by the bytes they save, as a share of their own compressed size.  All are confirmed by their exact
-wording, the rank decides between equals: the words of the template must stand in the block in order, apart from marked variable parts; missing template
-words are counted and listed.  A short template must be complete, a long one may miss ``MAX_MISSING`` of its words.  What a template confirms is taken out of the
-block and the rest is compared again until nothing is confirmed, so a block with any number of notices yields each.
+Candidate blocks are the words around licence cues, as many on both sides as a notice can have, so a notice may be wrapped anywhere.  Each block
+is compressed whole, alone and with each template as raw zstandard dictionary; templates are ranked by the bytes they save, as a share of their
+own compressed size.  All are confirmed by their exact wording, the rank decides between equals: the words of the template must stand in the block in order,
+apart from marked variable parts; missing template words are counted and listed.  A short template must be complete, a long one may miss
+``MAX_MISSING`` of its words.  What a template confirms is taken out of the block and the rest is compared again until nothing is confirmed, so a block with any
+number of notices yields each.
 
 Result: one row for each confirmed notice (doc, line where it begins, licence, words missing, size saved).
 
-Defined cases: null and empty texts have no blocks; repeated rows are reported each; a block of any length is one list; a template without a cue is found only near one; ties of the ranking go to the template that confirms with fewer missing words, then by licence
-id; extra columns are ignored.
+Defined cases: null and empty texts have no blocks; repeated rows are reported each; a block of any length is one list; a template without a cue is
+found only near one; ties of the ranking go to the template that confirms with fewer missing words, then by licence id; an empty table gives no
+rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 from .license_templates import TEMPLATES
 
-#: Small blocks against small dictionaries: the levels that find matches of three bytes.
-LEVEL = 19
-NEAR = 60
+LEVEL = 6
 MAX_MISSING = 0.05
 SHORT = 25
 CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "spdx-", "all copyright")
@@ -56,7 +56,7 @@ class Notice:
 class Block:
     words: list[str]
     lines: list[int]  # of each word
-    core: str  # what is compressed: from NEAR characters before the first cue to NEAR behind the last
+    text: str  # the same words as they stand, in lower case: what is compressed
 
 
 def words(text: str) -> list[str]:
@@ -116,18 +116,19 @@ class Scanner:
                 runs.append([first, last, begin, end])
         out, line, seen = [], 0, 0
         for first, last, begin, end in runs:
+            last = min(last, len(at))
             lines = []
             for x in at[first:last]:
                 line, seen = line + low.count("\n", seen, x), x
                 lines.append(line)
-            out.append(Block(said[first:last], lines, low[max(0, begin - NEAR) : end + NEAR]))
+            out.append(Block(said[first:last], lines, low[at[first] : at[last] if last < len(at) else len(low)] if first < len(at) else low[begin:end]))
         return out
 
     def notices(self, text: str) -> list[Notice]:
         return [n for block in self.blocks(text) for n in self._confirm(block)]
 
     def _confirm(self, block: Block) -> list[Notice]:
-        raw = block.core.encode("utf-8", "surrogatepass")
+        raw = block.text.encode("utf-8", "surrogatepass")
         base = max(1, self.alone(raw))
         saved = [round(1 - size(raw) / base, 6) for _, _, _, size, _ in self.templates]
         # a long template saves a little in any text: rank by the share of the template's own size that it saves

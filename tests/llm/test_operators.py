@@ -248,6 +248,38 @@ def test_license_lines_of_the_test_data(spark, sf):
     assert got == want
 
 
+def test_license_files():
+    T, scanner = license_scan.TEMPLATES, license_scan.Scanner()
+    fill = lambda text, width: "\n".join(textwrap.wrap(text, width))
+    mit = f"The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n{fill(T['MIT'][2], 80)}\n\n{fill(T['MIT'][3][len(T['MIT'][2]) + 1 :], 80)}"
+    assert [(n.license_id, n.template, n.line, n.missing) for n in scanner.notices(mit)] == [("MIT", 3, 4, ())]
+    assert [(n.license_id, n.template) for n in scanner.notices(fill(T["BSD-2-Clause"][1], 72))] == [("BSD-2-Clause", 1)]
+    assert [n.license_id for n in scanner.notices("// SPDX-License-Identifier: GPL-2.0-only\ncode")] == ["GPL-2.0"]
+    every = sorted(i for i in T if any(len(license_scan.words(t)) < license_scan.SHORT for t in T[i]))
+    listed = "\n".join(next(t for t in T[i] if len(license_scan.words(t)) < license_scan.SHORT) for i in every)
+    assert sorted(n.license_id for n in scanner.notices(listed)) == every
+    # 200 KB of prose around a notice, and a notice that is a line of 100 KB
+    prose = "words of prose without any meaning " * 3000
+    assert [(n.license_id, n.line) for n in scanner.notices(f"{prose}\n{mit}\n{prose}")] == [("MIT", 5)]
+    assert [n.license_id for n in scanner.notices(f"{prose} Licensed under the MIT License. {prose}")] == ["MIT"]
+
+
+def test_license_scan_against_plain_search(spark, sf):
+    folder = sf.replace("0.001", "0.01")
+    got = {(r.doc_id, r.license_id) for r in license_scan.op6_license_scan(spark, folder).collect()}
+    short = [(i, license_scan.words(t)) for i, many in license_scan.TEMPLATES.items() for t in many if len(license_scan.words(t)) < license_scan.SHORT and "<" not in t]
+    want = set()
+    for r in common.table(spark, folder, "documents").collect():
+        said = "\n" + "\n".join(license_scan.words(r.text or "")) + "\n"
+        want |= {(r.doc_id, i) for i, w in short if "\n" + "\n".join(w) + "\n" in said}
+    assert got == want and want
+
+
+def test_license_scan_ignores_other_columns(spark):
+    d = spark.createDataFrame([(1, "Licensed under the MIT License.", "x", 3), (2, None, "y", 4)], "doc_id long, text string, license_id string, line long")
+    assert [(r.doc_id, r.license_id, r.line) for r in license_scan.scan(d).collect()] == [(1, "MIT", 0)]
+
+
 # ---------------------------------------------------------------- 7 near duplicates
 
 
