@@ -4,12 +4,18 @@ The standard-library parser streams its events into *lines*, one for each block
 the tags met in it.  The ratio of text to tags of each line is smoothed with a Gaussian over its neighbours and
 the lines are split by a threshold into two clusters, or are one if they hardly differ.  The content region is every
 ``article`` and ``main`` element that holds text; if no line of the upper cluster is in one, also the lowest element that holds all lines of that
-cluster.  The main text is every line of the region, short ones too,
-except those inside elements that are never article text (navigation, forms, adverts, comments...).
+cluster.  The main text is every line of the region, short ones too, except those inside elements that are never article text (navigation, forms,
+scripts...) or stand beside it.
+
+Names of class, id and role are evidence only.  A container with a name such as sidebar, ad or comments stands beside the article unless it holds an
+article element or, on a page without one, half of the upper cluster's text.  Names of paragraphs, headings, list items, cells and
+inline elements inside an article say nothing, nor do those of inline elements inside a paragraph anywhere; elsewhere a paragraph so named goes if its line is not in the upper cluster.
+
+Elements are nodes that know their parent and the lines between their tags, so work grows with the page's length, however deep it is nested.
 
 Defined cases: null or empty html, and pages without text, give the empty text; an unfinished tag at the end is markup and
-goes; unclosed elements end with their parent; very long pages are one document in memory; repeated
-rows are extracted each; other columns are ignored.
+goes; unclosed elements end with their parent; white space is what Python's ``split`` takes for it, no-break spaces too; very long pages are one document in memory; of equal
+ratios all are in one cluster; repeated rows are extracted each; an empty table gives no rows; other columns pass through, a column named like the text is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ SKIP = frozenset("head title script style noscript template iframe object svg ca
 ROOTS = frozenset(("article", "main"))
 #: Parts of a text, never the element that holds all of it.
 PARTS = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table tbody thead tfoot tr td th caption".split())
+#: Parts that are text themselves: their names say nothing inside an article.
+TEXTS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption td th".split())
 #: Words of class, id and role that mark parts beside the article.
 BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|pagination|pager|skip|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])",
@@ -50,79 +58,112 @@ PLAIN = 10.0
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class _Node:
+    __slots__ = ("tag", "parent", "depth", "rooted", "silent", "named", "begin", "end")
+
+    def __init__(self, tag: str, parent: _Node | None, begin: int):
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.rooted = tag in ROOTS or bool(parent and parent.rooted)  # in an article or main, or one itself
+        self.silent = bool(parent and parent.silent)  # never article text
+        self.named = False
+        self.begin = self.end = begin  # lines between its tags
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, path of open elements) of each line."""
+    """Collects (text, tags, innermost open element) of each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, beside the article
-        self.count = 0
-        self.path: tuple = ()
+        self.top = _Node("", None, 0)
+        self.open: list[_Node] = [self.top]
+        self.at: dict[str, list[int]] = {}  # places in open of each tag
+        self.blocks: list[int] = []
+        self.in_part = 0  # open text parts
+        self.nodes: list[_Node] = []  # articles and named containers
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[tuple[str, int, _Node]] = []
 
     def _line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, tuple(self.open)))
+                self.lines.append((text, self.tags, self.open[-1]))
             self.parts = []
         self.tags = 0
 
+    def _pop(self, at: int) -> None:
+        """Close the element at a place, and those in it."""
+        while len(self.open) > at:
+            node = self.open.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.in_part -= node.tag in PARTS
+            node.end = len(self.lines)
+
+    def _last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self._line()
             if tag != "hr":
-                names = [x[0] for x in self.open]
-                if "p" in names and tag not in ("option", "optgroup"):
-                    self._close(len(names) - 1 - names[::-1].index("p"))
+                if tag not in ("option", "optgroup") and (p := self._last("p")) >= 0:
+                    self._pop(p)
                 for own in _ENDS.get(tag, ()):
-                    names = [x[0] for x in self.open]
-                    if names and own in names[-3:]:
-                        self._close(len(names) - 1 - names[::-1].index(own))
+                    if (k := self._last(own)) >= max(1, len(self.open) - 3):
+                        self._pop(k)
         elif tag == "br":
             self.parts.append("\n")
         self.tags += 1
-        if tag not in VOID:
-            inside = any(x[0] in ROOTS for x in self.open)
-            beside = bool(self.open and self.open[-1][2]) or tag in SKIP or (tag == "header" and not inside)
-            if not beside and attrs and tag not in ("html", "body", *ROOTS):
-                beside = any(v and BESIDE.search(v) for k, v in attrs if k in ("class", "id", "role"))
-            self.count += 1
-            self.open.append((tag, self.count, beside))
+        if tag in VOID:
+            return
+        parent = self.open[-1]
+        node = _Node(tag, parent, len(self.lines))
+        node.silent = node.silent or tag in SKIP or (tag == "header" and not parent.rooted)
+        if not node.silent and attrs and tag not in ("html", "body", *ROOTS) and any(v and BESIDE.search(v) for k, v in attrs if k in ("class", "id", "role")):
+            if tag not in BLOCK:
+                node.silent = not self.in_part
+            elif tag not in TEXTS or not parent.rooted:
+                node.named = True
+        if node.named or tag in ROOTS:
+            self.nodes.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.in_part += tag in PARTS
+        self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close(self, at: int) -> None:
-        self._line()
-        del self.open[at:]
-
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if tag in BLOCK or at == len(self.open) - 1:
-                    del self.open[at:]
-                else:  # an inline element never ends blocks opened inside it
-                    if not any(x[0] in BLOCK for x in self.open[at + 1 :]):
-                        del self.open[at:]
-                break
+        at = self._last(tag)
+        # an inline element never ends blocks opened inside it
+        if at >= 0 and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self._pop(at)
 
     def handle_data(self, data):
-        if not (self.open and self.open[-1][2]):
+        if not self.open[-1].silent:
             self.parts.append(data)
 
     def unknown_decl(self, data):
         pass
 
+    def finish(self) -> None:
+        self._line()
+        self._pop(1)
+        self.top.end = len(self.lines)
+
 
-def lines_of(html: str) -> list[tuple[str, int, tuple]]:
+def parsed(html: str) -> _Lines:
     parser = _Lines()
     html = _TAIL.sub("", html)
     try:
@@ -132,8 +173,8 @@ def lines_of(html: str) -> list[tuple[str, int, tuple]]:
         parser = _Lines()
         parser.feed(re.sub(r"<!(?!--)[^>]*>?", "", html))
         parser.close()
-    parser._line()
-    return parser.lines
+    parser.finish()
+    return parser
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -169,25 +210,82 @@ def text_from(ratios: list[float]) -> float:
     return min(r for r, v in zip(ratios, logs, strict=True) if v >= cut)
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    if not lines:
-        return ""
+def _upper(lines: list[tuple[str, int, _Node]]) -> list[bool]:
+    """Is a line in the upper cluster?"""
     own = [len(text) / (1 + tags) for text, tags, _ in lines]
     ratio = smoothed(own)
     cut, own_cut = text_from(ratio), min(PLAIN, text_from(own))
     # a line of markup beside text is smoothed into the upper cluster and says nothing about the region
-    upper = [path for (_, _, path), r, o in zip(lines, ratio, own, strict=True) if r >= cut and o >= own_cut]
-    upper = upper or [path for (_, _, path), r in zip(lines, ratio, strict=True) if r >= cut]
-    roots = {number for _, _, path in lines for tag, number, _ in path if tag in ROOTS}
-    if not any(number in roots for path in upper for _, number, _ in path):
-        shared = upper[0]
-        for path in upper:
-            shared = tuple(x for x, y in zip(shared, path) if x[1] == y[1])
-        whole = [number for tag, number, _ in shared if tag in BLOCK and tag not in PARTS]
-        roots = roots | {whole[-1]} if whole else set()
-    kept = [text for text, _, path in lines if not roots or any(number in roots for _, number, _ in path)]
-    return "\n\n".join(kept)
+    out = [r >= cut and o >= own_cut for r, o in zip(ratio, own, strict=True)]
+    return out if any(out) else [r >= cut for r in ratio]
+
+
+def _beside(page: _Lines) -> list[bool]:
+    """Does a line stand in an element beside the article?"""
+    lines, gone = page.lines, [0] * (len(page.lines) + 1)
+    named = [n for n in page.nodes if n.named and n.end > n.begin]
+    if named:
+        upper, size, articles = _upper(lines), [0], [0] * (len(lines) + 1)
+        for (text, _, _), up in zip(lines, upper, strict=True):
+            size.append(size[-1] + len(text) * up)
+        roots = [n for n in page.nodes if n.tag in ROOTS and n.end > n.begin]
+        for n in roots:
+            articles[n.begin] += 1
+        before = [0]
+        for x in articles:
+            before.append(before[-1] + x)
+        for n in named:
+            if n.tag in TEXTS:
+                beside = not any(upper[n.begin : n.end])
+            elif roots:  # an article that begins in it is no part of a page beside the article
+                beside = n.rooted or before[n.end] == before[n.begin]
+            else:
+                beside = 2 * (size[n.end] - size[n.begin]) < size[-1]
+            if beside:
+                gone[n.begin] += 1
+                gone[n.end] -= 1
+    out, depth = [], 0
+    for k in range(len(lines)):
+        depth += gone[k]
+        out.append(depth > 0)
+    return [False] * len(lines) if all(out) else out
+
+
+def _shared(a: _Node, b: _Node) -> _Node:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def main_text(html: str | None) -> str:
+    page = parsed(html or "")
+    beside = _beside(page)
+    lines = [(k, x) for k, (x, gone) in enumerate(zip(page.lines, beside, strict=True)) if not gone]
+    if not lines:
+        return ""
+    upper = [(k, x[2]) for (k, x), up in zip(lines, _upper([x for _, x in lines]), strict=True) if up]
+    keep = [n.rooted for _, (_, _, n) in lines]
+    if not any(n.rooted for _, n in upper):
+        region = upper[0][1]
+        for _, n in (upper[0], upper[-1]):
+            region = _shared(region, n)
+        region = _holding(region, upper[0][0], upper[-1][0])
+        while region.parent and (region.tag not in BLOCK or region.tag in PARTS):
+            region = region.parent
+        whole = region if region.tag in BLOCK and region.tag not in PARTS else page.top
+        keep = [k or whole.begin <= at < whole.end for k, (at, _) in zip(keep, lines, strict=True)]
+    return "\n\n".join(text for k, (_, (text, _, _)) in zip(keep, lines, strict=True) if k)
+
+
+def _holding(node: _Node, first: int, last: int) -> _Node:
+    """The lowest element from ``node`` up that holds the lines first to last."""
+    while node.parent and not (node.begin <= first and last < node.end):
+        node = node.parent
+    return node
 
 
 def extract(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:

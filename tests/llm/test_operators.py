@@ -477,6 +477,40 @@ def test_html_region_holds_all_text():
     assert html_text.main_text(f"<main><ul>{items}</ul></main><div><p>{prose(9)}</p></div>") == nine + "\n\n" + prose(9)
 
 
+def test_html_names_are_evidence():
+    long = "some plain words of a long text " * 4
+    text = long.strip()
+    inside = f'<p class="legal">{long}</p><p class="notice-board share">{long}</p><p>An <span class="copyright">inline</span> name</p><h2 class="banner">Head</h2>'
+    want = f"{text}\n\n{text}\n\nAn inline name\n\nHead"
+    assert html_text.main_text(f"<body><div class=menu>Home</div><article>{inside}<div class=share>Share</div></article><p class=legal>c</p></body>") == want
+    # a container with a name that holds the article, or most of the text, is no sidebar
+    assert html_text.main_text(f'<div class="with-sidebar sidebar"><article><p>{long}</p></article><div class="sidebar">x</div></div>') == text
+    assert html_text.main_text(f'<div class="content sidebar"><p>{long}</p><p>{long}</p></div><div class="ad">Buy this now</div>') == f"{text}\n\n{text}"
+    # reader comments go even where they are longer than the article
+    assert html_text.main_text(f'<article><p>{long}</p></article><div id="comments"><p>{long * 9}</p></div>') == text
+    assert html_text.main_text(f'<article><p>{long}</p><section class="comments"><p>{long * 9}</p></section></article>') == text
+    assert html_text.main_text('<div class="ad">only this</div>') == "only this"
+
+
+def test_html_work_grows_with_length():
+    import time
+
+    for page in ("<span><div>" * 8000, "<span><div>x" * 8000, '<div class="ad"><p>x' * 8000, "<li><b>x" * 8000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_html_pages_of_the_test_data(spark, sf):
+    import html as entities
+
+    for r in common.table(spark, sf, "pages").collect():
+        got = html_text.main_text(r.html)
+        said = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(entities.unescape(re.sub(r"<(?!p|h1|/p|/h1)[^>]*>", " " if "<br" in x else "", x.replace("<br>", "\n"))).split()) for x in re.split(r"</?(?:p|h1)>", said)]
+        assert got == "\n\n".join(x for x in want if x)
+
+
 def test_html_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain", "<p>cut off &lt;tag", "<p>end <foo bar=", "<![bad <p>x</p>")][:6] == ["", "", "", "plain", "cut off <tag", "end"]
     html_text.main_text("<![bad <p>x</p>")
