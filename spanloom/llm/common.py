@@ -101,6 +101,17 @@ def parts_for(spark: SparkSession, factor: float = 1.0) -> int:
     return max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
 
 
+#: Bytes of text that a task holds at once, and bytes of text for each byte of a compressed table.
+TASK_BYTES, UNPACKED = 256 << 20, 4
+
+
+def text_parts(df: DataFrame) -> int:
+    """Partitions for an exchange of whole texts: the session's setting, or more if a partition would hold over TASK_BYTES by the size of the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # Spark does not know the size of some sources
+    return max(parts_for(df.sparkSession), -(-known * UNPACKED // TASK_BYTES))
+
+
 #: Ids are broadcast up to this number (32 MB of longs); beyond it both sides are shuffled by id.
 MAX_BROADCAST_IDS = 4_000_000
 

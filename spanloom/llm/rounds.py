@@ -23,8 +23,8 @@ _WIDTH = 12  # bytes of a key: 64 and 32 bits
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, per_part: int = 2) -> tuple[DataFrame, int]:
-    """(bucket, doc_id, text) dealt by a hash of id and text, and the number of targets to ask."""
-    n = common.parts_for(docs.sparkSession)
+    """(bucket, doc_id, text) dealt by a hash of id and text, and the number of targets to ask; both grow with the input's size."""
+    n = common.text_parts(docs.select(id_col, text_col))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n * per_part)).cast("int").alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     return d.repartition(n, "bucket"), max(1, n // 2)

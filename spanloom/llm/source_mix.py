@@ -10,8 +10,8 @@ documents are shared by weight, no source gets more than ``max_repeat`` times it
 leaves goes to the others by weight until none is above.
 
 Defined cases: null text has 0 words; null sources are one source; documents without words take 0
-(they are kept by :func:`mixed` only where the budget covers them, see there); ties of the key (repeated rows) are ordered by id, then size,
-and share the budget in that order; empty tables give no rows.
+and are left out by :func:`mixed`; ties of the key (repeated rows) are ordered by id, then size, and share the budget in that order; empty
+tables give no rows; other columns, whatever their names, are ignored by :func:`mix` and kept by :func:`mixed`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from . import common
 
 MAX_REPEAT = 3
 #: Key ranges of a source: 16 ** BIN_DIGITS.
-BIN_DIGITS = 3
+BIN_DIGITS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -60,6 +60,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(F.col(text_col)).alias("size"), _key(F.col(id_col)).alias("key"),
         *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
+    if not carry:  # words are counted once; rows that are carried are not written a second time for it
+        d, _ = common.saved(d, "sizes")
     d = d.withColumn("bin", F.substring("key", 1, BIN_DIGITS))
     bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     past = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)

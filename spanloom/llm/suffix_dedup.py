@@ -16,7 +16,8 @@ A piece that a third of all documents share is indexed once.  Texts are worked t
 holds about INDEX_BYTES (or the distinct pieces of one minimizer, if these are more).
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; null ids come before all others; rows with the same
-id are ordered by bucket and text, equal rows follow each other, so one of them keeps its bytes; extra columns are ignored.
+id are ordered by bucket and text, equal rows follow each other, so one of them keeps its bytes; extra columns, whatever their names, are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def _judge(length: int):
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
 
-        keys, docs, row, start, size = joined("keys", "<u8"), joined("docs", "<i8"), joined("rows", "<i4"), joined("starts", "<i8"), joined("sizes", "<u2").astype(np.int64)
+        keys, docs, row, start, size = joined("keys", "<u8"), joined("docs", "<i8"), joined("rows", "<i4"), joined("starts", "<i8"), joined("sizes", "<u4").astype(np.int64)
         count = np.asarray([len(b) // 8 for b in rows.column("keys").to_pylist()])
         bucket = np.repeat(np.asarray(rows.column("bucket").to_pylist()), count)
         raw = b"".join(rows.column("texts").to_pylist())
@@ -188,7 +189,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for t in full:
             s = slice(edges[t], edges[t + 1])
             texts = b"".join([raw[x][y : y + z] for x, y, z in zip(block[s].tolist(), begin[s].tolist(), size[s].tolist(), strict=True)])
-            for c, v in zip(cols, (keys[s].astype("<u8").tobytes(), ids[row[s]].astype("<i8").tobytes(), row[s].astype("<i4").tobytes(), start[s].astype("<i8").tobytes(), size[s].astype("<u2").tobytes(), texts), strict=True):
+            for c, v in zip(cols, (keys[s].astype("<u8").tobytes(), ids[row[s]].astype("<i8").tobytes(), row[s].astype("<i4").tobytes(), start[s].astype("<i8").tobytes(), size[s].astype("<u4").tobytes(), texts), strict=True):
                 c.append(v)
         k = len(full)
         return pa.table([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * k, pa.int32()), pa.array([1] * k, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["target", "bucket", "round", "keys", "docs", "rows", "starts", "sizes", "texts"])

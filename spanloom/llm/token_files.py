@@ -7,7 +7,7 @@ its blocks in lock step with one lookup table.
 
 Defined cases: null text is the empty text; an empty text is just the end id; documents with equal
 ids follow each other in text order, null ids come first; an empty table gives no shard and no row;
-a text of any length is one document, its codes may span many blocks.  Other columns are ignored.
+a text of any length is one document, its codes may span many blocks.  Other columns, whatever their names, are ignored.
 
 Shard layout (little-endian): magic ``SLH1`` | u32 header bytes | JSON header | doc ids (i64) |
 null-id flags (u8) | ids per document (u32) | bit offset of each block (u64) | code bits.
@@ -203,7 +203,7 @@ def _tokenised(path: str, end_id: int):
                 seq, at = seq + len(ids), at + int(sizes.sum())
         if seq:
             yield _id_rows(pa.array([None], pa.int64()), part, COUNTS, np.asarray([at]), np.asarray([at]), [counts.astype("<i8").tobytes()])
-        common.trim(keep_caches=True)
+        common.trim(keep_caches=True)  # the next task of this stage goes on with what is known; any other operator's task empties it
 
     return run
 
@@ -221,8 +221,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     """(doc_id, part, seq, at, n, ids): ids of each document in range partitions of ascending id;
     ``seq`` and ``at`` count documents and ids before it in its partition.  A last row of each partition, with
     seq :data:`COUNTS`, holds how often each id occurs in it (as ``ids``) and all its ids (as ``n``)."""
-    n = common.parts_for(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n = common.text_parts(d)
     d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return d.mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, part int, seq long, at long, n long, ids binary")
 

@@ -41,3 +41,16 @@ def test_stages(spark, sf):
     assert [name for name, _ in P.STAGES] == list(kept)
     again = P.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark, sf, corpus, empty):
+    """Nulls, empty and long texts, repeated rows and clashing column names go through the whole chain."""
+    for docs in (corpus, empty):
+        columns = docs.columns
+        for name, stage in P.STAGES:
+            last, (docs, _) = docs, common.saved(stage(spark, docs, sf), name)
+            assert docs.columns == (columns if name != "token_files" else ["doc_id", "start", "n_tokens", "ids_crc32"])
+            assert docs.select("doc_id").subtract(last.select("doc_id")).isEmpty()
+            if name == "source_mix":
+                assert docs.where("text is null or text = ''").isEmpty()
+        assert (docs.count() == 0) == (columns == empty.columns and last.count() == 0)
