@@ -45,6 +45,8 @@ _SELECT = "SELECT " + ", ".join(_COLS) + " FROM spans"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+#: Queries as functions of a spans and a links table, wherever these come from.
+OVER_TABLES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
@@ -58,6 +60,7 @@ def query(name: str, sql: str | None, more: str = ""):
 
     def register(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
         _QUERIES[name] = lambda spark, sf_dir: f(*tables(spark, sf_dir))
+        OVER_TABLES[name] = f
         if sql:
             _SQL[name] = f"WITH RECURSIVE {_CTE}{more} {sql}"
         return f
