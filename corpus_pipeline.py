@@ -9,6 +9,11 @@ return the columns of ``documents``.
 4. mixing sources to target weights: documents are repeated or left out to meet each source's budget;
 5. token-ID / binary output: shards are written, read back and summed up for each document.
 
+Defined cases, for the chain: null and empty texts have a score like any other and, where they stay, have no words, so the mix leaves them
+out; a null id is never a copy of anything and is kept by stage 2; rows that repeat an id are one document from stage 2 on, and copies that the mix makes are
+rows of their own in the token files; extra columns, whatever their names, pass through stages 1 to 4; an empty table gives an empty table in every stage;
+texts of any length are whole in every stage.  Each stage's own docstring says how ties are broken.
+
 No stage's rows can be said in SQL (trained model, MinHash, tokenizer), so ``ORACLE_SQL`` is None and
 tests compare each stage with a plain version.
 """
