@@ -118,6 +118,6 @@ MAX_BROADCAST_IDS = 4_000_000
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is not in the one-column table ``ids``; the column names of ``ids`` do not matter."""
-    ids, _ = saved(ids.toDF("__gone").distinct(), "ids")
+    ids, _ = saved(narrow(ids.toDF("__gone").distinct()), "ids")
     few = ids.count() <= MAX_BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids["__gone"]), "left_anti")

@@ -94,14 +94,14 @@ def _verified(x: DataFrame, stretch: int, agree: float) -> DataFrame:
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, agree: float = AGREE, masks=MASKS) -> DataFrame:
     """doc_key, item_key, shift, n_tokens (of the stretch), n_equal: the best verified stretch of each pair."""
     d, b = _sides(docs, items, id_col, text_col, item_col, item_text_col)
-    b, _ = common.saved(b.where("size(b) > 0"), "items")
+    b, _ = common.saved(common.narrow(b.where("size(b) > 0")), "items")
     sizes = [n for (n,) in b.select(F.least(F.size("b"), F.lit(STRETCH))).distinct().collect()]  # 16 at most
     ranges = [(m, low, high) for m, low, high in _ranges(masks) if not sizes or any(low <= n <= high for n in sizes)]
     seeds = _seeded(b, "b", ranges, True).select("seed", "item_key", _place(ranges, True).alias("item_place"), F.col("n").alias("size"))
-    seeds, _ = common.saved(seeds, "item-seeds")
+    seeds, _ = common.saved(common.narrow(seeds), "item-seeds")
     hit = _seeded(d, "a", ranges, False).join(F.broadcast(seeds) if seeds.count() <= MAX_BROADCAST_ROWS else seeds, "seed")
     hit = hit.select(F.col("doc_key").alias("h_key"), "item_key", (_place(ranges, False) - F.col("item_place")).alias("shift"), "size").distinct()
-    hit, _ = common.saved(hit, "seed-hits")
+    hit, _ = common.saved(common.narrow(hit), "seed-hits")
     few = hit.count() <= MAX_BROADCAST_ROWS
     # hit documents first, then their tokens
     keys = hit.select(F.col("h_key").alias("k")).distinct()

@@ -83,7 +83,7 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc
 
 def _bounded(lines: DataFrame, label: str) -> tuple[DataFrame, bool]:
     """The table written, and whether it is small enough to be broadcast."""
-    lines, _ = common.saved(lines, label)
+    lines, _ = common.saved(common.narrow(lines), label)
     return lines, lines.count() <= MAX_BROADCAST_LINES
 
 
