@@ -91,7 +91,7 @@ def normalized_tag_name(name: Column) -> Column:
 
 
 def attribute_text(value: Column) -> Column:
-    """An OTLP AnyValue struct as text; arrays, maps and bytes become the literals that stand for them."""
+    """An OTLP AnyValue struct as text; arrays, maps and bytes become the literals that stand for them (fixed values)."""
     return F.coalesce(
         value["stringValue"],
         value["boolValue"].cast("string"),
