@@ -7,7 +7,7 @@ its blocks in lock step with one lookup table.
 
 Defined cases: null text is the empty text; an empty text is just the end id; documents with equal
 ids follow each other in text order, null ids come first; an empty table gives no shard and no row;
-a text of any length is one document, its codes may span many blocks.  Other columns, whatever their names, are ignored.
+a text of any length is one document, its codes may span many blocks.  The tokenizer's file must be at the same path on every machine.  Other columns, whatever their names, are ignored.
 
 Shard layout (little-endian): magic ``SLH1`` | u32 header bytes | JSON header | doc ids (i64) |
 null-id flags (u8) | ids per document (u32) | bit offset of each block (u64) | code bits.
@@ -223,7 +223,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     seq :data:`COUNTS`, holds how often each id occurs in it (as ``ids``) and all its ids (as ``n``)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = common.text_parts(d)
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")  # rows of one id can be many partitions
     return d.mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, part int, seq long, at long, n long, ids binary")
 
 

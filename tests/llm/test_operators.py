@@ -312,6 +312,32 @@ def test_minhash_dedup(corpus, plain, empty, size):
     assert minhash_dedup.near_duplicates(empty, size).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_minhash_recall(spark, sf, size):
+    """Every pair of sf0.01 that is similar enough, found by exact prefix filtering, is in one component, and nothing else is joined."""
+    docs = common.table(spark, sf.replace("0.001", "0.01"), "documents")
+    sets = {}
+    for r in docs.collect():
+        w = WORD.findall((r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[r.doc_id] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+    often, holders, parent = collections.Counter(x for s in sets.values() for x in s), collections.defaultdict(list), {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-8 * len(s) // 10) + 1]
+        for e in {e for x in rare for e in holders[x]}:
+            if 100 * len(s & sets[e]) >= 80 * len(s | sets[e]):
+                a, b = root(d), root(e)
+                parent[max(a, b)] = min(a, b)
+        for x in rare:
+            holders[x].append(d)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, size).collect()} == {d: root(d) for d in sets}
+
+
 def test_deduplicated_keeps_one_of_each(corpus, plain):
     left = minhash_dedup.deduplicated(corpus)
     want = {d for d, _, c in components_of(plain, 5, 80) if d is not None and d == c}
