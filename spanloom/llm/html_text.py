@@ -292,7 +292,7 @@ def extract(pages: DataFrame, html_col: str = "html", into: str = "text") -> Dat
     """All columns of ``pages`` and the string column ``into``."""
     wanted = [c for c in pages.columns if c != into]
     keep = [c for c in wanted if c != html_col]
-    d = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
+    d = pages.select(*keep, F.col(html_col).cast("string").alias(common.free_name(pages, "__html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

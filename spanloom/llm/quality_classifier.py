@@ -129,7 +129,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "s
     (two dictionaries of DICT_BYTES each) travels with the task."""
     wanted = [c for c in docs.columns if c != into]
     own = text_col in wanted and isinstance(docs.schema[text_col].dataType, T.StringType)  # then the text is sent once
-    out = docs.select(wanted) if own else docs.select(*wanted, F.col(text_col).cast("string").alias("__score_text"))
+    out = docs.select(wanted) if own else docs.select(*wanted, F.col(text_col).cast("string").alias(common.free_name(docs, "__score_text")))
     at = wanted.index(text_col) if own else len(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,11 +44,23 @@ def test_quality_classifier(spark, corpus, empty):
     assert held == {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_quality_of_long_texts_and_other_columns(spark):
+    model = quality_classifier.fit_texts(["plain good words about things " * 9] * 9, ["### $$$ BUY *** " * 9] * 9)
+    texts = [None, "", "plain good words about things " * 100_000, "### $$$ BUY *** " * 100_000, "x"]
+    d = spark.createDataFrame([(i, bytearray((t or "").encode()) if t is not None else None, "mine") for i, t in enumerate(texts)], "doc_id long, text binary, __score_text string")
+    got = {r.doc_id: r for r in quality_classifier.scored(d, model).collect()}
+    assert got[0].score == got[1].score and got[2].score > 0.5 > got[3].score and {r["__score_text"] for r in got.values()} == {"mine"}
+    assert quality_classifier.scored(d.limit(0), model).columns == ["doc_id", "text", "__score_text", "score"]
+
+
 def test_quality_on_held_out_rows(spark, sf):
-    d = queries.queries()["op1_quality_classifier"](spark, sf.replace("0.001", "0.01")).where("held_out")
-    rows = d.join(common.table(spark, sf.replace("0.001", "0.01"), "labels"), "doc_id").select("score", "quality").collect()
+    """On sf0.1, which has about 120 bad documents among the held-out ones (sf0.01 has 11)."""
+    folder = sf.replace("0.001", "0.1")
+    d = queries.queries()["op1_quality_classifier"](spark, folder).where("held_out")
+    rows = d.join(common.table(spark, folder, "labels"), "doc_id").select("score", "predicted", "quality").collect()
     good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
-    assert np.mean([g > b for g in good for b in bad]) > 0.75 and np.mean([g >= 0.3 for g in good]) > 0.9
+    assert np.mean([g > b for g in good for b in bad]) > 0.9 and np.mean([g >= 0.3 for g in good]) > 0.95 and np.mean([b >= 0.3 for b in bad]) < 0.4
+    assert all(r.predicted == (r.score >= 0.3) for r in rows)
 
 
 # ---------------------------------------------------------------- 2 decontamination
@@ -544,6 +556,8 @@ def test_html_edges(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", "t"), (2, None, None, None), (1, "u", "<article><p>x y</p></article>", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_text.extract(d).collect())) == sorted(map(str, [d.sparkSession.createDataFrame([(1, "u", "x y")], "page_id long, url string, text string").first()] * 2 + [d.sparkSession.createDataFrame([(2, None, "")], "page_id long, url string, text string").first()]))
     assert html_text.extract(d.limit(0)).count() == 0
+    clash = d.withColumn("__html", F.lit("mine")).withColumn("tags", F.lit(1))
+    assert {(r["__html"], r.tags) for r in html_text.extract(clash).collect()} == {("mine", 1)}
 
 
 def test_smoothing_and_threshold():
