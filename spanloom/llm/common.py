@@ -10,10 +10,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import inspect
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +92,18 @@ def trim(keep_caches: bool = False) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(f: Callable) -> Callable:
+    """A function of groups (one, two or three arguments) behind which the worker's memory goes back."""
+
+    def run(*args):
+        out = f(*args)
+        trim()  # what f held is free by now
+        return out
+
+    n = len(inspect.signature(f).parameters)  # Spark counts named arguments
+    return (lambda rows: run(rows)) if n == 1 else (lambda key, rows: run(key, rows)) if n == 2 else (lambda key, rows, more: run(key, rows, more))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove tables made by :func:`saved` that no plan reads any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

@@ -48,7 +48,7 @@ CHUNKS = 16
 MAX_DISTANCE = 28
 LARGE_KEY = 2048
 #: Signatures whose keys a map task sorts at a time.
-LOCAL_ROWS = 1 << 14
+LOCAL_ROWS = 1 << 13
 #: A distance at which most pairs are similar enough.
 LIKELY = 12
 
@@ -216,7 +216,7 @@ def star_links(reps: DataFrame) -> DataFrame:
         return pa.table([pa.array(x), pa.array(y)], names=["a", "b"])
 
     sent = reps.select("id", "sig").mapInArrow(local, "target int, k binary, i binary")
-    return sent.groupBy("target").applyInArrow(meet, "a long, b long").distinct()
+    return sent.groupBy("target").applyInArrow(common.trimmed(meet), "a long, b long").distinct()
 
 
 def near_links(links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -321,10 +321,10 @@ def foreign_links(reps: DataFrame, percent: int, large: int = LARGE_KEY) -> Data
         pairs = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
         return pa.table([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "dist"])
 
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "target int, bucket int, k binary, c binary")
-    told = asked.groupBy("target").applyInArrow(reply, "bucket int, target int, bits binary, large binary")
-    sent = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send, "target int, keys binary, sketches binary")
-    return sent.groupBy("target").applyInArrow(compare, "a long, b long, dist long").distinct()
+    asked = dealt.groupBy("bucket").applyInArrow(common.trimmed(ask), "target int, bucket int, k binary, c binary")
+    told = asked.groupBy("target").applyInArrow(common.trimmed(reply), "bucket int, target int, bits binary, large binary")
+    sent = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(common.trimmed(send), "target int, keys binary, sketches binary")
+    return sent.groupBy("target").applyInArrow(common.trimmed(compare), "a long, b long, dist long").distinct()
 
 
 def _entries(keys: np.ndarray, row: np.ndarray, slot: np.ndarray) -> np.ndarray:

@@ -46,11 +46,11 @@ _SPACE_BYTE, _FEED_BYTE = "\u0120", "\u010a"
 #: Marks of chunks: line feed, behind nothing, first of a text.  None of the last two is a common character.
 _MARKS = "\n\x01\x02"
 _FIRST = _MARKS[2]
-_CACHE = 400_000
+_CACHE = 120_000
 #: Ids that are packed together, a multiple of BLOCK.
 _PIECE = 1 << 14
 #: Bytes of texts that are encoded together.
-_BYTES = 1 << 21
+_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- tokenizer
