@@ -251,3 +251,19 @@ def test_tag_values_are_not_limited(spark):
     d = spark.range(n).select(F.create_map(F.lit("request.id"), F.format_string("r%07d", "id")).alias("tags"), F.lit(T).alias("start_time"), F.lit(T + 1).alias("end_time"))
     got = lookups.tag_values(d, "span.request.id", T, T + MIN)
     assert got.columns == ["value"] and got.agg(F.count("*"), F.max("value")).first()[:] == (n, f"r{n - 1:07d}")
+
+
+def test_limits_of_correlated_subqueries_follow_their_order(spark, sf):
+    """Rows are numbered in the order that ORDER BY names, also by a column that is not selected."""
+    from spanloom import queries
+    from spanloom import sql as spansql
+
+    spansql.register(*queries.tables(spark, sf))
+    inner = "SELECT span_id FROM spans s WHERE s.service_name = v.service_name ORDER BY duration DESC, span_id LIMIT 1"
+    outer = "(SELECT DISTINCT service_name FROM spans) v"
+    best = {r.service_name: r.span_id for r in spark.sql("SELECT service_name, max_by(span_id, struct(duration, -conv(span_id, 16, 10))) AS span_id FROM spans GROUP BY 1").collect()}
+    for text in (f"SELECT v.service_name, t.span_id FROM {outer}, LATERAL ({inner}) t", f"SELECT service_name, ({inner}) AS span_id FROM {outer}", f"WITH d AS (SELECT DISTINCT service_name FROM spans) SELECT service_name, coalesce(({inner}), '') AS span_id FROM d v"):
+        d = spansql.query(spark, text)[1]
+        windows = [x for x in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number() windowspecdefinition" in x]
+        assert windows and all("DESC NULLS LAST" in x.split("specifiedwindowframe")[0] for x in windows)
+        assert dict(map(tuple, d.collect())) == best
