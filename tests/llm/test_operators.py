@@ -403,6 +403,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", (0, 40, 1 << 20))
+def test_components_in_one_task(spark, monkeypatch, most):
+    """Edges that one task holds are contracted there, in a number of jobs that does not follow the number of rounds; whichever way, results are the same."""
+    rng = np.random.default_rng(3)
+    chain = rng.permutation(200).tolist()
+    edges = [*zip(chain, chain[1:]), *((1000, k) for k in range(1001, 1050)), (5000, 5000), (-7, -(1 << 62)), (7000, 6999), (7000, 6998), (6990, 6998)]
+    monkeypatch.setattr(components, "ONE_TASK", most, raising=False)
+    tracker, group = spark.sparkContext.statusTracker(), f"components-{most}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {r.v: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {k: 0 for k in range(200)} | {k: 1000 for k in range(1000, 1050)} | {-7: -(1 << 62), -(1 << 62): -(1 << 62)} | dict.fromkeys((6990, 6998, 6999, 7000), 6990)
+    assert got == want
+    assert most < 1 << 20 or jobs <= 8
+
+
 # ---------------------------------------------------------------- 8 token files
 
 
