@@ -19,7 +19,6 @@ import json
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +45,14 @@ _SPACE_BYTE, _FEED_BYTE = "\u0120", "\u010a"
 #: Marks of chunks: line feed, behind nothing, first of a text.  None of the last two is a common character.
 _MARKS = "\n\x01\x02"
 _FIRST = _MARKS[2]
-_CACHE = 120_000
+#: Chunks that a worker remembers, some 30 bytes each; of more, the half that was used last stays.
+_CACHE = 400_000
+#: Chunks that go to the library as one text.
+_LINE = 256
 #: Ids that are packed together, a multiple of BLOCK.
 _PIECE = 1 << 14
-#: Bytes of texts that are encoded together.
-_BYTES = 1 << 20
+#: Bytes of texts whose different chunks are looked up together, and characters of those that are cut together.
+_BYTES, _CUT = 1 << 22, 1 << 20
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -80,10 +82,9 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
         self.n_ids = max(vocab.values(), default=0) + 1
-        self.code = "H" if self.kind == "<u2" else "I"
-        # what is known, in two generations of at most _CACHE chunks; chunks in use move to the young one
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # what is known: chunks, how many ids each has, all their ids in one array, and when each was used last
+        self.known = pa.array([], pa.large_string())
+        self.size, self.flat, self.used, self.now = np.zeros(0, np.uint32), np.zeros(0, self.kind), np.zeros(0, np.uint32), 0
         # ids whose token begins with a space, and those that are a line feed
         self.spaced, self.fed = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
         self.spaced[[i for t, i in vocab.items() if t[:1] == _SPACE_BYTE]] = True
@@ -103,72 +104,101 @@ class Encoder:
                 return None
         return _FIRST + text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \n")
 
-    def _learn(self, missing: set[str]) -> None:
-        """Take chunks over from the older generation, or encode them: chunks behind a space as one text, in which each begins at an id whose token
-        begins with a space, marked ones as one text of lines, in which each begins behind a line feed."""
-        young, old = self.young, self.old
-        if old:
-            again = old.keys() & missing
-            for c in again:
-                young[c] = old[c]
-            missing = missing - again
-        lines, words, bare = [], [], []
-        for c in missing:
-            (bare if not c or c in _MARKS else lines if c[0] in _MARKS else words).append(c)
-        if words and not self._taught(words, " " + " ".join(words), self.spaced, 0):
-            self._one_by_one(words, [" " + c for c in words])
-        for drop, own in ((0, [c for c in lines if c[0] == "\n"]), (1, [c for c in lines if c[0] != "\n"])):
-            if own and not self._taught(own, "\n" + "\n".join([c[1:] for c in own]), self.fed, drop):
-                self._one_by_one(own, [c[drop:] for c in own])
-        self._one_by_one(bare, [c.strip(_MARKS[1:]) if c else " " for c in bare])
-
-    def _taught(self, chunks: list[str], text: str, begins: np.ndarray, drop: int) -> bool:
-        """Encode chunks as one text; false if it does not fall apart into as many."""
-        ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        at = np.flatnonzero(begins[ids])
-        if len(at) != len(chunks) or at[0] != 0:
-            return False
-        raw, size = ids.tobytes(), ids.itemsize
-        young, ends = self.young, [*(at[1:] * size).tolist(), len(raw)]
-        for c, x, y in zip(chunks, (at * size).tolist(), ends, strict=True):
-            young[c] = raw[x + drop * size : y]
-        return True
-
-    def _one_by_one(self, chunks: list[str], texts: list[str]) -> None:
-        for c, e in zip(chunks, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.young[c] = array(self.code, e.ids).tobytes()
+    def _learn(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The order in which chunks are encoded, and in it the number of ids of each, and all ids.  Chunks behind a space are texts in which each
+        begins at an id whose token begins with a space; marked ones are texts of lines, in which each begins behind a line feed."""
+        lines, words, bare, marked = [], [], [], []
+        for k, c in enumerate(chunks):
+            (bare if not c or c in _MARKS else words if c[0] not in _MARKS else lines if c[0] == "\n" else marked).append(k)
+        out = [self._taught([chunks[k] for k in words], " ", self.spaced, 0)]
+        for drop, own in ((0, lines), (1, marked)):
+            out.append(self._taught([chunks[k][1:] for k in own], "\n", self.fed, drop))
+        out.append(self._one_by_one([chunks[k].strip(_MARKS[1:]) if chunks[k] else " " for k in bare]))
+        return words + lines + marked + bare, *(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _taught(self, chunks: list[str], mark: str, begins: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each chunk behind its mark, and these ids without the first ``drop``; chunks are encoded many to a text, and one
+        by one where a text does not fall apart into as many."""
+        sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
+        lots = [chunks[k : k + _LINE] for k in range(0, len(chunks), _LINE)]
+        said = self.tok.encode_batch_fast([mark + mark.join(x) for x in lots], add_special_tokens=False)
+        for own, e in zip(lots, said, strict=True):
+            ids = np.asarray(e.ids, self.kind)
+            first = begins[ids]
+            at = np.flatnonzero(first)
+            if len(at) != len(own) or at[0] != 0:
+                n, ids = self._one_by_one([("" if drop else mark) + c for c in own])
+            else:
+                n = np.diff(np.r_[at, len(ids)]) - drop
+                ids = ids[~first] if drop else ids
+            sizes.append(n)
+            found.append(ids)
+        return np.concatenate(sizes), np.concatenate(found)
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.asarray(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.asarray([len(x) for x in ids], np.int64), np.concatenate([np.zeros(0, self.kind), *ids])
+
+    def _starts(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Where each of some different chunks stands among what is known; new ones are encoded first."""
+        if len(self.known) > _CACHE:
+            keep = np.sort(np.argsort(self.used, kind="stable")[-(_CACHE // 2) :])
+            n, starts = self.size[keep], self._starts()[keep]
+            self.flat = self.flat[_ranges(starts, n)]
+            self.known, self.size, self.used = self.known.take(pa.array(keep)), n, self.used[keep]
+        found = pc.index_in(chunks, value_set=self.known)
+        new = pc.is_null(found)
+        where = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if (missing := chunks.filter(new)) and len(missing):
+            order, n, ids = self._learn(missing.to_pylist())
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) + len(self.known)
+            where[new.to_numpy(zero_copy_only=False)] = place
+            self.known = pa.concat_arrays([self.known, missing.take(pa.array(order, pa.int64()))])
+            self.size, self.flat = np.concatenate([self.size, n.astype(np.uint32)]), np.concatenate([self.flat, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(order), np.uint32)])
+        self.now += 1
+        self.used[where] = self.now
+        return where
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text.  Chunks of all texts are cut and told apart by Arrow, so only different ones are looked up."""
-        cut = [self._cut(t) for t in texts]
-        if len(self.young) > _CACHE:
-            self.young, self.old = {}, self.young
-        parts = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.large_string()), " ")
-        coded = parts.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.young.get, chunks))
-        if None in found:
-            self._learn({c for c, x in zip(chunks, found, strict=True) if x is None})
-            known = self.young
-            found = [known[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-        each = np.frombuffer(b"".join(found), self.kind)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
-        which = coded.indices.to_numpy()
-        n = size[which]
-        ends = np.cumsum(n)
-        # ids of the chunks in order of the texts: from where a chunk's ids stand to where they go
-        every = each[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[which] - ends + n, n)]
-        at = np.r_[0, ends][parts.offsets.to_numpy()].tolist()
-        out, k = [], 0
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.frombuffer(self._whole(t), self.kind))
-            else:
-                out.append(every[at[k] : at[k + 1]])
-                k += 1
+        lots, k = [], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while k < len(texts):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _CUT, "right")))
+            cut = [self._cut(t) for t in texts[k:stop]]
+            parts = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.large_string()), " ")
+            lots.append((k, [c is None for c in cut], parts.offsets.to_numpy(), parts.flatten().dictionary_encode()))
+            k = stop
+        coded = pa.chunked_array([x[3] for x in lots], pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries()
+        where = self._places(coded.chunk(0).dictionary) if lots else None
+        starts = self._starts()
+        out: list = []
+        for (k, whole, offsets, _), chunk in zip(lots, coded.chunks, strict=True):
+            which = where[chunk.indices.to_numpy()]
+            n = self.size[which].astype(np.int64)
+            # ids of the chunks in order of the texts: from where a chunk's ids stand to where they go
+            every = self.flat[_ranges(starts[which], n)]
+            at, j = np.r_[0, np.cumsum(n)][offsets - offsets[:1]].tolist(), 0
+            for i, alone in enumerate(whole):
+                if alone:
+                    out.append(np.frombuffer(self._whole(texts[k + i]), self.kind))
+                else:
+                    out.append(every[at[j] : at[j + 1]])
+                    j += 1
         return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of ranges, one behind the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 _encoders: dict[str, Encoder] = {}
 common.caches.append(_encoders.clear)
 
@@ -201,6 +231,8 @@ def _tokenised(path: str, end_id: int):
                 counts += np.bincount(np.concatenate(ids), minlength=len(counts))
                 yield _id_rows(some.column(0), part, seq, at + np.cumsum(sizes) - sizes, sizes, [x.tobytes() for x in ids])
                 seq, at = seq + len(ids), at + int(sizes.sum())
+                del ids
+                common.trim(keep_caches=True)
         if seq:
             yield _id_rows(pa.array([None], pa.int64()), part, COUNTS, np.asarray([at]), np.asarray([at]), [counts.astype("<i8").tobytes()])
         common.trim(keep_caches=True)  # the next task of this stage goes on with what is known; any other operator's task empties it

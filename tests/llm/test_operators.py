@@ -441,6 +441,35 @@ def test_token_files(spark, corpus, plain, empty):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_encoder_remembers_and_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    tok, enc, sent = Tokenizer.from_file(path), token_files.Encoder(path), []
+    learn = enc._learn
+    enc._learn = lambda missing: (sent.append(len(missing)), learn(missing))[1]
+    many = [" ".join(f"w{chr(97 + i % 26)}{i:x}" for i in range(k, k + 30_000)) for k in range(0, 300_000, 30_000)]
+    for t in many:
+        enc.ids([t])
+    assert sum(sent) >= 300_000
+    sent.clear()
+    for t in many:
+        enc.ids([t])
+    assert not sum(sent)  # chunks in use are encoded once
+
+    odd = ["", "a", "\n", " a", "a ", "a  b", "a,b. c.\nd,\ne", "x.", ",x", "..", "é,è.", "1,2.3", "日本 語", "<|endoftext|>", "a <|endoftext|> b", "don't, can't.", "a\x01b", "\x02", "a\nb c\nd", ".", ", ,", "a ,b", "a\tb", "a" * 5000, "\n\n"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in odd + many[:2]]
+    monkeypatch.setattr(token_files, "_CACHE", 4)
+    for cut in (1, 20, 1 << 20):
+        monkeypatch.setattr(token_files, "_CUT", cut)
+        enc = token_files.Encoder(path)
+        for _ in range(2):
+            assert [x.tolist() for x in enc.ids(odd + many[:2])] == want
+            for t, w in zip(odd, want):
+                assert [x.tolist() for x in enc.ids([t])] == [w]
+        assert enc.ids([]) == []
+
+
 def test_codes():
     rng = np.random.default_rng(0)
     for n, v in ((0, 5), (1, 5), (127, 3), (128, 1), (129, 2), (5000, 50000), (40000, 3000)):
