@@ -35,7 +35,8 @@ from .run_index import RunIndex
 LENGTH = 100
 K = 24
 INDEX_BYTES = 1 << 19
-_SEGMENT = 1 << 23
+#: Window starts that are worked through together: their numbers stay in the processor's cache.
+_SEGMENT = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = Powers(0x9E3779B97F4A7C17)
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -114,10 +115,13 @@ _SENT = "target int, bucket int, round int, keys binary, docs binary, rows binar
 
 def earlier_windows(texts: list[bytes], keys: np.ndarray, length: int) -> list[np.ndarray]:
     """For each distinct piece, in order of first occurrence: does each of its windows start in an earlier piece?"""
-    out: list = [None] * len(texts)
+    out: list = [np.zeros(len(t) - length + 1, bool) for t in texts]
     order = np.argsort(keys, kind="stable")
+    # windows of one piece differ from each other, since their common minimizer stands elsewhere in each: a piece that has its key alone repeats nothing
+    alone = np.r_[True, keys[order][1:] != keys[order][:-1], True]
+    order = order[~(alone[:-1] & alone[1:])] if len(order) else order
     sizes = np.asarray([len(t) for t in texts], np.int64)[order]
-    ends = np.flatnonzero(np.r_[keys[order][1:] != keys[order][:-1], True]) + 1 if len(keys) else []
+    ends = np.flatnonzero(np.r_[keys[order][1:] != keys[order][:-1], True]) + 1 if len(order) else []
     begin, total = 0, np.r_[0, np.cumsum(sizes)]
     for i, stop in enumerate(ends):
         if total[stop] - total[begin] < INDEX_BYTES and i + 1 < len(ends):
@@ -150,21 +154,17 @@ def _judge(length: int):
         raw = b"".join(rows.column("texts").to_pylist())
         edge = np.r_[0, np.cumsum(size)].tolist()
         known: dict[bytes, int] = {}
-        which, first = np.empty(len(keys), np.int64), np.zeros(len(keys), bool)
         opening = []
         for i in np.lexsort((start, row, bucket, docs)).tolist():
-            text = raw[edge[i] : edge[i + 1]]
-            k = known.setdefault(text, len(known))
-            if k == len(opening):
+            if known.setdefault(raw[edge[i] : edge[i + 1]], len(known)) == len(opening):
                 opening.append(i)
-                first[i] = True
-            which[i] = k
         flags = earlier_windows(list(known), keys[np.asarray(opening, np.int64)] if opening else keys, length)
-        bits, at = [], 0
-        for n in count.tolist():
-            own = [flags[which[i]] if first[i] else np.ones(size[i] - length + 1, bool) for i in range(at, at + n)]
-            bits.append(np.packbits(np.concatenate(own)).tobytes())
-            at += n
+        base = np.r_[0, np.cumsum(size - length + 1)]
+        every = np.ones(int(base[-1]), bool)  # what stands in a piece seen before starts earlier
+        for i, own in zip(opening, flags, strict=True):
+            every[base[i] : base[i + 1]] = own
+        edges = base[np.r_[0, np.cumsum(count)]].tolist()
+        bits = [np.packbits(every[x:y]).tobytes() for x, y in zip(edges, edges[1:], strict=False)]
         return pa.table([rows.column("bucket"), rows.column("target"), rows.column("round"), pa.array(bits, pa.binary())], names=["bucket", "target", "round", "bits"])
 
     return judge
@@ -204,15 +204,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             if r == 1:
                 x, y = base[edges[t]], base[edges[t + 1]]
                 repeated[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
-        place = np.repeat(begin - base[:-1], windows) + np.arange(len(repeated))
-        owner = np.repeat(block, windows)
+        first_byte = np.cumsum([0, *(len(x[0]) for x in b.blocks)])
+        starts = np.zeros(int(first_byte[-1]), bool)
+        starts[(np.repeat(begin + first_byte[block] - base[:-1], windows) + np.arange(len(repeated)))[repeated]] = True
         ids, out, doc = b.rows.column("doc_id").to_pylist(), [], 0
         for n, (data, offsets, *_) in enumerate(b.blocks):
-            bad = place[repeated & (owner == n)]
-            cover = np.zeros(len(data) + 1, np.int64)
-            np.add.at(cover, bad, 1)
-            np.add.at(cover, bad + length, -1)
-            gone = np.cumsum(cover)[:-1] > 0
+            # a byte is gone if one of the last ``length`` windows that start up to it is repeated
+            cover = np.cumsum(starts[first_byte[n] : first_byte[n + 1]], dtype=np.int32)
+            gone = np.r_[cover[:length], cover[length:] - cover[:-length]] > 0
             for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = gone[x:y]
                 kept, spans, n_gone = data[x:y], [], int(own.sum())

@@ -441,6 +441,36 @@ def test_token_files(spark, corpus, plain, empty):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_only_pieces_that_share_a_minimizer_are_indexed(monkeypatch):
+    rng, length, made, real = np.random.default_rng(5), 100, [], suffix_dedup.RunIndex
+    monkeypatch.setattr(suffix_dedup, "RunIndex", lambda strings, depth: (made.append(len(strings)), real(strings, depth))[1])
+    some = rng.integers(97, 101, 3000).astype(np.uint8).tobytes()
+    texts = [some, b"ab" * 400, b"a" * 700, b"", some, some[500:900], b"x" + some[:1200] + b"y" + some[100:300], b"abc" * 100 + some[7:207], rng.integers(0, 256, 900).astype(np.uint8).tobytes(), b"short"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    seen, want = set(), set()
+    for a, b in zip(offsets, offsets[1:]):
+        for x in range(a, b - length + 1):
+            w = data[x : x + length].tobytes()
+            want |= {x} if w in seen else set()
+            seen.add(w)
+    for segment, index in ((150, 1 << 19), (1 << 16, 1), (1 << 23, 1 << 19)):
+        monkeypatch.setattr(suffix_dedup, "_SEGMENT", segment)
+        monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", index)
+        begin, end, key = suffix_dedup.pieces(data, offsets, length)
+        known, opening, got = {}, [], set()
+        for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
+            if known.setdefault(data[x : y + length].tobytes(), i) == i:
+                opening.append(i)
+            else:
+                got |= set(range(x, y + 1))
+        made.clear()
+        for i, flags in zip(opening, suffix_dedup.earlier_windows(list(known), key[opening], length), strict=True):
+            got |= set((np.flatnonzero(flags) + begin[i]).tolist())
+        assert got == want
+        several = dict(zip(*np.unique(key[opening], return_counts=True)))
+        assert 0 < sum(made) == sum(n for n in several.values() if n > 1) < len(opening)
+
+
 def test_encoder_remembers_and_forgets(monkeypatch):
     from tokenizers import Tokenizer
 
